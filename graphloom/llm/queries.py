@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, quality, shared, substring_dedup, toxicity
+from . import bpe, decontamination, exact_dedup, licences, near_dedup, private, quality, shared, substring_dedup, toxicity
 from .kernels import ragged
 
 
@@ -19,7 +19,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _token_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def token_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of ids and decoded bytes; ids are written out for a whole batch at once."""
     said = np.frombuffer("".join(f"{i}," for i in range(70_000)).encode(), dtype=np.uint8)
     lengths = np.array([len(str(i)) + 1 for i in range(70_000)])
@@ -46,11 +49,24 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
         shared.table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-        then=_token_digests,
-        schema="doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        then=token_digests,
+        schema=DIGESTS,
     )
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(shared.table(spark, sf_dir, "documents"))
+
+
+def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.pseudonymised(shared.table(spark, sf_dir, "documents"), key="example key of a test corpus")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "distance")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
 
@@ -69,15 +85,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_private": op10_private,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_licences": licences.oracle(),
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
