@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, licences, near_dedup, private, quality, shared, substring_dedup, toxicity
+from . import bpe, byte_dedup, decontamination, exact_dedup, licences, near_dedup, private, quality, shared, substring_dedup, toxicity
 from .kernels import ragged
 
 
@@ -62,6 +62,11 @@ def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.pseudonymised(shared.table(spark, sf_dir, "documents"), key="example key of a test corpus")
 
 
+def op2_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = byte_dedup.byte_dedup(shared.table(spark, sf_dir, "documents"), window=50, keep_bytes=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "distance")
@@ -86,6 +91,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
+    "op2_byte_dedup": op2_byte_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
