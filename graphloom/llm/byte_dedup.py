@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -67,9 +66,9 @@ def _looked_up(window: int, keep_bytes: bool):
                 at = starts[a:b]
                 cut = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
                 windows[d] = pack(at[cut] - units.bounds[d], np.diff(np.append(cut, len(at))))
-            late = pa.array(has)
+            late = pa.array(np.arange(len(has)), mask=~has)
             yield pa.RecordBatch.from_arrays(
-                [*done.columns, pc.if_else(late, text, pa.scalar(None, text.type)).cast(pa.string()), pa.array(windows, type=pa.binary())],
+                [*done.columns, text.take(late), pa.array(windows, type=pa.binary())],
                 [*done.schema.names, "text", "windows"],
             )
 

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import anchors, shared
@@ -88,9 +87,9 @@ def _looked_up(window: int, keep_text: bool):
             windows = [None] * block.num_rows
             for d, a, b in anchors._runs(doc):
                 windows[d] = pack(starts[a:b] - units.bounds[d])
-            late = pa.array(has)
+            late = pa.array(np.arange(len(has)), mask=~has)
             yield pa.RecordBatch.from_arrays(
-                [*done.columns, pc.if_else(late, text, pa.scalar(None, text.type)).cast(pa.string()), pa.array(windows, type=pa.binary())],
+                [*done.columns, text.take(late), pa.array(windows, type=pa.binary())],
                 [*done.schema.names, "text", "windows"],
             )
 
