@@ -55,7 +55,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    # Shuffle files of the write are of no more use once the table is there.
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
