@@ -3,7 +3,7 @@
 All rolling word pairs of every document are hashed and joined to the pairs of the templates (a fixed, small list, so it
 is broadcast).  A hit at word p for a template's place j votes for the diagonal p - j; votes count only if the words
 themselves agree.  A base phrase stands where a diagonal has all of its votes.  A longer notice is recognised where
-neighbouring diagonals (a word or two added or lost) together have COVERAGE of its pairs.
+neighbouring diagonals (a word or two added or lost) together have COVERAGE of its pairs, or all of fewer than SHORT.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-COVERAGE, NEIGHBOUR = 0.8, 2
+COVERAGE, NEIGHBOUR, SHORT = 0.8, 2, 8
 # Phrases of the base and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 # Words of well-known public licence notices.
@@ -86,7 +86,7 @@ def spans(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "t", "label", "base", "n_pairs", "island")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("n"), F.min("diagonal").alias("diagonal"))
         .withColumn("coverage", F.col("n") / F.col("n_pairs"))
-        .where(F.col("coverage") >= COVERAGE)
+        .where(F.col("coverage") >= F.when(F.col("n_pairs") < SHORT, 1.0).otherwise(COVERAGE))
         .groupBy("doc_id", "t", "label", "base")
         .agg(F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.count(F.lit(1)).alias("n_places"), F.max("coverage").alias("coverage"))
     )
@@ -149,7 +149,7 @@ def oracle() -> str:
         m AS (SELECT i.doc_id, i.t, i.label, i.base, i.n_pairs, i.island, count(DISTINCT v.j) AS n
             FROM i JOIN v ON v.doc_id = i.doc_id AND v.t = i.t AND v.diagonal = i.diagonal GROUP BY ALL),
         s AS (SELECT doc_id, label, base, a, z, n_places, coverage FROM e UNION ALL
-            SELECT doc_id, label, base, NULL, NULL, 0, n::DOUBLE / n_pairs FROM m WHERE n::DOUBLE / n_pairs >= {COVERAGE}),
+            SELECT doc_id, label, base, NULL, NULL, 0, n::DOUBLE / n_pairs FROM m WHERE n::DOUBLE / n_pairs >= CASE WHEN n_pairs < {SHORT} THEN 1 ELSE {COVERAGE} END),
         f AS (SELECT doc_id, sum(n_places)::BIGINT AS n_base, min(a) AS first_word, max(z) AS last_word,
             coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels,
             array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(coverage) AS score FROM s GROUP BY doc_id)
