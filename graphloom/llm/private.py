@@ -20,7 +20,7 @@ KINDS = {
     "secret": r"(?:AKIA[A-Z0-9]{16}|[0-9a-f]{40}|(?<=password=)[0-9a-f]{8,64})",
     "date": r"[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])",
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
-    "phone": r"\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){2,3}",
+    "phone": r"\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
@@ -154,8 +154,8 @@ def address(value: Column, key: str) -> Column:
 def kind_of(value: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(list(KINDS.items())):
-        # A look-behind sees what a match alone has lost; such a match is told by its characters.
-        whole = pattern.replace("(?<=password=)", "")
+        # A match alone has lost what its look-behind saw; it is told by a letter, which numbers don't have.
+        whole = pattern.replace("(?<=password=)", "(?=[0-9]*[a-f])")
         fits = F.regexp_like(value, F.lit(f"^(?:{whole})$"))
         if kind == "card":
             fits = fits & is_card(value)
