@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .kernels import U64, Words, blocks, byte_symbols, flat_text, gram_hashes, ragged, sliding_min
+from .kernels import U64, Words, blocks, byte_symbols, flat_text, gram_hashes, mix, ragged, sliding_min
 
 BLOCK = 4 << 20
+#: Packed rows on their way back to documents.
+PACKED = "bucket int, data binary"
 _HIDE = U64(0xFFFF)
 
 
@@ -134,14 +136,35 @@ def by_document(doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(packed, type=pa.binary())], ["doc_id", "data"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def by_bucket(n_buckets: int, doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket of documents, ids and columns packed: few rows, however many documents they are for."""
+    bucket = (mix(doc.astype(np.int64).view(U64)) % U64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in (doc, *columns)]
+    found = [(k, pack(*[c[a:b] for c in columns])) for k, a, b in _runs(bucket)]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], type=pa.int32()), pa.array([x for _, x in found], type=pa.binary())], ["bucket", "data"])
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of some buckets as one row for each document."""
+    rows = [unpack(x) for batch in batches for x in batch.column("data").to_pylist()]
+    if rows:
+        doc, *columns = np.concatenate(rows, axis=1)
+        yield by_document(doc, *columns)
+
+
+def _repeated(n_buckets: int):
+    return lambda batches: _repeated_rows(batches, n_buckets)
+
+
+def _repeated_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Of the entries of a range of hashes, those that two blocks share; and what blocks have settled themselves."""
     keys, doc = [], []
     for batch in batches:
         for data, settled in zip(batch.column("data").to_pylist(), batch.column("settled").to_pylist()):
             k, d = unpack(data)
             if settled:
-                yield by_document(d, k)
+                yield by_bucket(n_buckets, d, k)
             else:
                 keys.append(k.view(U64))
                 doc.append(d)
@@ -155,19 +178,20 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit[:-1] |= same[1:]
         hit &= doc >= 0
         if hit.any():
-            yield by_document(doc[hit], keys[hit])
+            yield by_bucket(n_buckets, doc[hit], keys[hit])
 
 
 def repeated_anchors(docs: DataFrame, kind: str, window: int, gram: int, *, across: bool) -> DataFrame:
-    """doc_id and packed hashes of its anchors that occur again: in another document, or (not `across`) anywhere else."""
+    """bucket and packed pairs of document and hash of an anchor that occurs again: in another document, or (not `across`) anywhere else."""
     n = shared.parts(docs.sparkSession)
     rows = docs.mapInArrow(_anchor_rows(kind, window, gram, 2 * n, across), "part int, data binary, settled boolean")
-    return rows.repartition(n, "part").mapInArrow(_repeated, "doc_id bigint, data binary")
+    return rows.repartition(n, "part").mapInArrow(_repeated(n), PACKED)
 
 
 def with_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the packed rows of `found` for each, as an array (null: none)."""
-    grouped = found.groupBy("doc_id").agg(F.collect_list("data").alias("found"))
+    n = shared.parts(docs.sparkSession)
+    grouped = found.repartition(n, "bucket").mapInArrow(_together, "doc_id bigint, data binary").select("doc_id", F.array("data").alias("found"))
     return docs.join(grouped.hint("shuffle_hash"), "doc_id", "left")
 
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import anchors, shared
-from .anchors import Units, by_document, gathered, pack, unpack
+from .anchors import Units, by_bucket, gathered, pack, unpack
 from .kernels import U64, blocks, cover, flat_text, ragged, spans
 from .suffix_array import shared_prefixes, suffix_array
 
@@ -181,14 +181,14 @@ def _smallest_documents(key, left, count, doc, content: list[bytes], window: int
     return out
 
 
-def _repeats(window: int):
+def _repeats(window: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, members, classes, content = [], [], {}, []
         for batch in batches:
             for data, text, settled in zip(batch.column("data").to_pylist(), batch.column("content").to_pylist(), batch.column("settled").to_pylist()):
                 some = unpack(data)
                 if settled:
-                    yield by_document(*some)
+                    yield by_bucket(n_buckets, *some)
                     continue
                 raw, at = zstandard.ZstdDecompressor().decompress(text), 0
                 for n, left in zip(some[3].tolist(), some[4].tolist()):
@@ -227,7 +227,7 @@ def _repeats(window: int):
             found.append((window_doc[hit], window_start[hit], np.ones(hit.sum(), dtype=np.int64)))
         done = [np.concatenate(c) for c in zip(*found)]
         if len(done[0]):
-            yield by_document(*done)
+            yield by_bucket(n_buckets, *done)
 
     return run
 
@@ -263,7 +263,7 @@ def byte_dedup(docs: DataFrame, *, window: int = 50, keep_bytes: bool = True) ->
     repeats = (
         late.mapInArrow(_context_rows(window, 4 * n), "part int, data binary, content binary, settled boolean")
         .repartition(n, "part")
-        .mapInArrow(_repeats(window), "doc_id bigint, data binary")
+        .mapInArrow(_repeats(window, n), anchors.PACKED)
     )
     cut = anchors.with_rows(late.select("doc_id", "text"), repeats).mapInArrow(_cut(window, keep_bytes), OUT)
     return first.where("windows IS NULL").select(*names).unionByName(cut)

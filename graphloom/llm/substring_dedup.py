@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import anchors, shared
-from .anchors import Units, by_document, gathered, pack, unpack
+from .anchors import Units, by_bucket, gathered, pack, unpack
 from .kernels import U64, blocks, cover, flat_text, gram_hashes, ragged
 
 GRAM = 12
@@ -133,14 +133,18 @@ def _window_rows(window: int, n_parts: int):
     return run
 
 
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matched(n_buckets: int):
+    return lambda batches: _matched_rows(batches, n_buckets)
+
+
+def _matched_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Looks all entries of a reference block up in it: starts that match elsewhere, and the first such place."""
     found = []
     for batch in batches:
         for data, settled in zip(batch.column("data").to_pylist(), batch.column("settled").to_pylist()):
             rows = unpack(data)
             if settled:
-                yield by_document(*rows)
+                yield by_bucket(n_buckets, *rows)
             else:
                 found.append(rows)
     if not found:
@@ -155,7 +159,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     source = np.where(first, np.minimum(lead + 1, len(keys) - 1), lead)
     hit = (np.bincount(group)[group] > 1) & (flag == 0)
     if hit.any():
-        yield by_document(doc[hit], start[hit], doc[source[hit]], start[source[hit]])
+        yield by_bucket(n_buckets, doc[hit], start[hit], doc[source[hit]], start[source[hit]])
 
 
 def _parsed(window: int, keep_text: bool):
@@ -192,7 +196,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, keep_text: bool = True
     matches = (
         late.mapInArrow(_window_rows(window, 2 * n), "part int, data binary, settled boolean")
         .repartition(n, "part")
-        .mapInArrow(_matched, "doc_id bigint, data binary")
+        .mapInArrow(_matched(n), anchors.PACKED)
     )
     parsed = anchors.with_rows(late.select("doc_id", "text"), matches).mapInArrow(_parsed(window, keep_text), OUT)
     return first.where("windows IS NULL").select(*names).unionByName(parsed)
