@@ -34,6 +34,8 @@ def _state_of_stream(prints: DataFrame, files_per_batch: int) -> DataFrame:
         "spark.sql.streaming.stateStore.providerClass": _STORE,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        # Each of many small stores would otherwise reserve disk for its logs.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
