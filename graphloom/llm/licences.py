@@ -36,12 +36,9 @@ NOTICES = [
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
-    """Words in the contract's sense but for the case of A-Z; splitting leaves blanks at the ends only."""
-    w = F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    blank_first = (w[0] == "").cast("int")
-    blank_last = ((F.element_at(w, -1) == "") & (F.size(w) > 1)).cast("int")
-    return F.slice(w, blank_first + 1, F.greatest(F.size(w) - blank_first - blank_last, F.lit(0)))
+def pieces(text: Column) -> Column:
+    """Words in the contract's sense but for the case of A-Z, and perhaps a blank at either end."""
+    return F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
 
 
 def _pair(a: Column, b: Column) -> Column:
@@ -59,13 +56,15 @@ def _templates(docs: DataFrame) -> DataFrame:
 
 def votes(docs: DataFrame) -> DataFrame:
     """doc_id, t, label, base, n_pairs, j, diagonal: verified votes of every document's word pairs."""
-    w = docs.select("doc_id", words(F.col("text")).alias("w"))
-    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), _pair)
-    rolled = w.where(F.size("w") > 1).select("doc_id", "w", F.posexplode(pairs).alias("p", "h"))
+    # Outer, since a filter that Spark infers for an inner explosion would split every text once more.
+    rolled = docs.select("doc_id", pieces(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("p", "a"))
+    b = F.get("w", F.col("p") + 1)
     folded = lambda c: F.translate(c, _UPPER, _LOWER)
-    hits = rolled.join(F.broadcast(_templates(docs)), "h").where(
-        (folded(F.get("w", F.col("p"))) == F.col("w1")) & (folded(F.get("w", F.col("p") + 1)) == F.col("w2"))
-    )
+    hits = rolled.join(
+        F.broadcast(_templates(docs)),
+        # Bounds, not equalities, for the words: Spark would make those keys, and fold every word of every text.
+        (_pair(F.col("a"), b) == F.col("h")) & folded(F.col("a")).between(F.col("w1"), F.col("w1")) & folded(b).between(F.col("w2"), F.col("w2")),
+    ).withColumn("p", F.col("p") - (F.get("w", F.lit(0)) == "").cast("int"))
     return hits.select("doc_id", "t", "label", "base", "n_pairs", "j", (F.col("p") - F.col("j")).cast("long").alias("diagonal"))
 
 
@@ -102,7 +101,7 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     """
     docs = shared.documents(docs)
     base = F.col("base")
-    found = spans(docs.distinct()).groupBy("doc_id").agg(
+    found = spans(docs).groupBy("doc_id").agg(
         F.sum(F.when(base, F.col("n_places")).otherwise(0)).alias("n_base"),
         F.min(F.when(base, F.col("first_word"))).alias("first_word"),
         F.max(F.when(base, F.col("last_word"))).alias("last_word"),
@@ -110,7 +109,9 @@ def licence_scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("coverage").alias("score"),
     )
-    every = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    w = pieces(F.col("text"))
+    blanks = (F.get(w, F.lit(0)) == "").cast("long") + ((F.element_at(w, -1) == "") & (F.size(w) > 1)).cast("long")
+    every = docs.select("doc_id", (F.size(w) - blanks).alias("n_words"))
     return every.join(found, "doc_id", "left").select(
         "doc_id",
         "n_words",
