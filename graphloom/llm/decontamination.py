@@ -7,7 +7,8 @@ TABLES hash tables samples SAMPLED places of the walk; a window that meets an it
 candidates are verified by the exact edit distance between the item and the best-fitting run of words around the window.
 
 With at most `tolerance` of an item's n words edited, a window that holds it keeps n - 1 - 2 e of its word pairs (each
-edit touches two), so windows with fewer pairs known to any item are not embedded; none within the tolerance is lost.
+edit touches two), so windows with fewer pairs known to items of that length are not embedded, and those with fewer of the
+item's own not verified; none within the tolerance is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .kernels import U64, blocks, flat_text, gram_hashes, mix
+from .kernels import U64, blocks, flat_text, gram_hashes, mix, ragged
 from .statistics import folded_words
 
 TABLES, SAMPLED = 48, 2
@@ -66,6 +67,13 @@ def fit_distance(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Index:
     """Benchmark items by length and table."""
 
@@ -81,6 +89,8 @@ class Index:
                 self.symbols.append(words.hash)
                 pairs.append(gram_hashes(words.hash, 2))
         self.allowed = {n: int(n * tolerance) for n in self.by_length}
+        self.pairs_of = {n: np.unique(np.concatenate([pairs[i] for i in members])) for n, members in self.by_length.items()}
+        self.own = pairs
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=U64)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n, members in self.by_length.items():
@@ -95,14 +105,18 @@ class Index:
         if not len(symbols):
             return found
         grams = gram_hashes(symbols, 2)
-        at = np.searchsorted(self.pairs, grams)
-        known = np.concatenate(([0], np.cumsum(self.pairs[np.minimum(at, len(self.pairs) - 1)] == grams))) if len(self.pairs) else np.zeros(len(grams) + 1)
+        hit = np.flatnonzero(_within(grams, self.pairs))
         doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         stop = bounds[1:][doc_of]
         for n, (keys, owner) in self.tables.items():
-            need = max(0, n - 1 - 2 * self.allowed[n])
-            ends = np.minimum(np.arange(len(symbols)) + max(n - 1, 0), len(grams))
-            starts = np.flatnonzero(known[ends] - known[np.minimum(np.arange(len(symbols)), len(grams))] >= need)
+            need = n - 1 - 2 * self.allowed[n]
+            if need > 0:
+                k = hit[_within(grams[hit], self.pairs_of[n])]
+                # Windows with k[j] to k[j + need - 1] among their pairs start from k[j + need - 1] - n + 2 to k[j].
+                a, z = np.maximum(k[need - 1 :] - n + 2, 0), k[: max(0, len(k) - need + 1)]
+                starts = np.unique(np.repeat(a, np.maximum(z - a + 1, 0)) + ragged(np.zeros_like(a), np.maximum(z - a + 1, 0)))
+            else:
+                starts = np.arange(len(symbols))
             # A passage with words left out may lie at a document's end: windows may be shorter by as much.
             starts = starts[starts + n - self.allowed[n] <= stop[starts]]
             for low in range(0, len(starts), 4096):
@@ -130,7 +144,13 @@ def _leaks(items: list[tuple[int, str]], tolerance: float):
                 allowed = index.allowed[n]
                 low, high = words.bounds[d], words.bounds[d + 1]
                 best, seen = None, -1
-                for s in sorted(set(starts)):
+                # The same bound for the item's own pairs, over all the text that its best run may lie in.
+                starts = np.unique(starts)
+                first, grams = max(low, starts[0] - allowed), gram_hashes(words.hash[max(low, starts[0] - allowed) : min(high, starts[-1] + n + 2 * allowed)], 2)
+                own = np.concatenate(([0], np.cumsum(np.isin(grams, index.own[i]))))
+                reach = np.clip(starts + n + 2 * allowed - 1 - first, 0, len(grams)), np.clip(starts - allowed - first, 0, len(grams))
+                starts = starts[own[reach[0]] - own[reach[1]] >= n - 1 - 2 * allowed]
+                for s in starts.tolist():
                     if s < seen:
                         continue
                     a, b = max(low, s - allowed), min(high, s + n + 2 * allowed)
