@@ -2,6 +2,8 @@
 
 The graph of parts joins the parts of consecutive lines of an order, both of more than 30 pieces; weights are pieces of
 the first.  The graph of supply joins parts and suppliers.
+
+Queries called x_whole ask x of all vertices, or of all pairs with a common neighbour; x itself asks the few ids of its SQL.
 """
 
 from __future__ import annotations
@@ -51,10 +53,10 @@ def q_pairs(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d).vertices.where("vertex < 40").select(F.col("vertex").alias("first")).crossJoin(parts(spark, d).vertices.where("vertex < 40").select(F.col("vertex").alias("second"))).where("first < second")
 
 
-def _similar(name: str, weighted: bool):
+def _similar(name: str, weighted: bool, whole: bool = False):
     def run(spark: SparkSession, d: str) -> DataFrame:
         g = parts(spark, d)
-        found = similarity.similarity(g, name, q_pairs(spark, d), use_weight=weighted)
+        found = similarity.similarity(g, name, None if whole else q_pairs(spark, d), use_weight=weighted)
         c = f"{name}_coeff"
         return found.select("first", "second", F.round(F.when(F.isnan(c), None).otherwise(F.col(c)), 6).alias(c))
 
@@ -81,18 +83,19 @@ def q_renumber(spark: SparkSession, d: str) -> DataFrame:
     return dense_ids(_table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct(), ["c_nationkey", "c_mktsegment"])
 
 
-def q_sample(spark: SparkSession, d: str) -> DataFrame:
-    s = sampling.neighbor_sample(parts(spark, d, True), _nodes(spark, d, 20), [-1, -1])
+def q_sample(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    g = parts(spark, d, True)
+    s = sampling.neighbor_sample(g, g.vertices.select("vertex") if whole else _nodes(spark, d, 20), [-1, -1])
     return s.select(F.col("batch_id").cast("long").alias("batch_id"), F.col("hop_id").cast("long").alias("hop_id"), "src", "dst", "weight")
 
 
-def q_temporal(spark: SparkSession, d: str) -> DataFrame:
-    """From three customers to parts they ordered, and on to customers who ordered those later."""
+def q_temporal(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """From three customers (or all) to parts they ordered, and on to customers who ordered those later."""
     o = _table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + SUPPLIERS).alias("c"), F.unix_timestamp("o_orderdate").alias("t"))
     e = o.join(_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p")).distinct(), "o_orderkey")
     both = e.select(F.col("c").alias("src"), F.col("p").alias("dst"), "t").unionByName(e.select(F.col("p").alias("src"), F.col("c").alias("dst"), "t")).distinct()
     g = Graph.from_edgelist(both, start_time="t", directed=True, multi=True)
-    starts = spark.range(3).select((F.col("id") + SUPPLIERS).alias("vertex"))
+    starts = e.select(F.col("c").alias("vertex")).distinct() if whole else spark.range(3).select((F.col("id") + SUPPLIERS).alias("vertex"))
     s = sampling.neighbor_sample(g, starts, [-1, -1], temporal=">")
     return s.select(F.col("hop_id").cast("long").alias("hop_id"), "src", "dst", "start_time").distinct()
 
@@ -104,7 +107,8 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
 
 def _walks(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return sampling.random_walks(parts(spark, d), _nodes(spark, d, 50), 5, kind=kind, p=0.5, q=2.0)
+        g = parts(spark, d)
+        return sampling.random_walks(g, g.vertices, 5, kind=kind, p=0.5, q=2.0)
 
     return run
 
@@ -179,6 +183,15 @@ QUERIES = {
     "complete_graph": lambda s, d: generators.complete_graph(s, 12),
     "path_graph": lambda s, d: generators.path_graph(s, 9),
     "hungarian": lambda s, d: layout.hungarian(parts(s, d), _nodes(s, d, 30))[1],
+    **{f"{n}_whole": _similar(n, False, True) for n in similarity.NAMES},
+    **{f"{n}_weighted_whole": _similar(n, True, True) for n in similarity.NAMES},
+    "has_edge_whole": lambda s, d: parts(s, d).has_edge(structure.two_hop_neighbors(parts(s, d)).toDF("src", "dst")),
+    "two_hop_neighbors_whole": lambda s, d: structure.two_hop_neighbors(parts(s, d)),
+    "k_hop_nbrs_whole": lambda s, d: structure.k_hop_nbrs(parts(s, d, True), parts(s, d, True).vertices, 3),
+    "induced_subgraph_whole": lambda s, d: structure.induced_subgraph(parts(s, d, True), parts(s, d, True).vertices),
+    "ego_graph_whole": lambda s, d: structure.ego_graph(parts(s, d), parts(s, d).vertices, 1).select("seed", "src", "dst"),
+    "neighbor_sample_whole": lambda s, d: q_sample(s, d, True),
+    "temporal_neighbor_sample_whole": lambda s, d: q_temporal(s, d, True),
 }
 
 _RAW = """raw AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, a.l_quantity AS weight FROM lineitem a JOIN lineitem b
@@ -189,6 +202,7 @@ _UND = f"""{_RAW}, s AS (SELECT src, dst, min(weight) AS weight FROM raw GROUP B
 _V = "v AS (SELECT DISTINCT vertex FROM (SELECT src AS vertex FROM raw UNION ALL SELECT dst FROM raw))"
 _C = "c AS (SELECT vertex, vertex % 7 AS cluster FROM v)"
 _P = "p AS (SELECT a.vertex AS first, b.vertex AS second FROM v a, v b WHERE a.vertex < b.vertex AND b.vertex < 40)"
+_TWO = "p AS (SELECT DISTINCT a.src AS first, b.dst AS second FROM e a JOIN e b ON a.dst = b.src)"
 
 
 def _degree_sql(where: str = "") -> str:
@@ -210,7 +224,7 @@ def _iterated(first: str, step: str, n: int) -> str:
     return ", ".join([f"r0 AS ({first})", *[f"r{i + 1} AS ({step.replace('@', f'r{i}')})" for i in range(n)]])
 
 
-def _similar_sql(name: str, weighted: bool) -> str:
+def _similar_sql(name: str, weighted: bool, pairs: str = _P) -> str:
     w = "weight" if weighted else "1.0"
     down = {"jaccard": "wa + wb - b", "sorensen": "wa + wb", "overlap": "least(wa, wb)"}.get(name)
     up = "2 * b" if name == "sorensen" else "b"
@@ -218,7 +232,7 @@ def _similar_sql(name: str, weighted: bool) -> str:
         score = "CASE WHEN n > 0 THEN dot / (sqrt(na) * sqrt(nb)) END" if weighted else "CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END"
     else:
         score = f"CASE WHEN {down} > 0 THEN {up} / ({down}) ELSE 0.0 END"
-    return f"""WITH {_UND}, {_V}, {_P}, x AS (SELECT src, dst, ({w})::DOUBLE AS w FROM e), t AS (SELECT src, sum(w) AS w FROM x GROUP BY src),
+    return f"""WITH {_UND}, {_V}, {pairs}, x AS (SELECT src, dst, ({w})::DOUBLE AS w FROM e), t AS (SELECT src, sum(w) AS w FROM x GROUP BY src),
         h AS (SELECT first, second, count(*) AS n, sum(least(a.w, b.w)) AS b, sum(a.w * b.w) AS dot, sum(a.w * a.w) AS na, sum(b.w * b.w) AS nb
             FROM p JOIN x a ON a.src = first JOIN x b ON b.src = second AND b.dst = a.dst GROUP BY 1, 2),
         f AS (SELECT p.first, p.second, coalesce(n, 0) AS n, coalesce(b, 0.0) AS b, dot, na, nb, coalesce(ta.w, 0.0) AS wa, coalesce(tb.w, 0.0) AS wb
@@ -289,6 +303,16 @@ ORACLE_SQL = {
     **{n: _similar_sql(n, False) for n in similarity.NAMES},
     **{f"{n}_weighted": _similar_sql(n, True) for n in similarity.NAMES},
     **{f"all_pairs_{n}": _all_pairs_sql(n) for n in similarity.NAMES[:3]},
+    **{f"{n}_whole": _similar_sql(n, False, _TWO) for n in similarity.NAMES},
+    **{f"{n}_weighted_whole": _similar_sql(n, True, _TWO) for n in similarity.NAMES},
+    "has_edge_whole": f"WITH {_UND}, {_TWO} SELECT first AS src, second AS dst, count(e.src) AS multiplicity FROM p LEFT JOIN e ON e.src = first AND e.dst = second GROUP BY 1, 2",
+    "two_hop_neighbors_whole": f"WITH {_UND}, {_TWO} SELECT first, second FROM p",
+    "k_hop_nbrs_whole": f"WITH {_DIR} SELECT DISTINCT a.src AS start, c.dst AS vertex FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src",
+    "induced_subgraph_whole": f"WITH {_DIR} SELECT src, dst, weight FROM e",
+    "ego_graph_whole": f"WITH {_UND}, {_V}, m AS (SELECT vertex AS seed, vertex FROM v UNION SELECT src, dst FROM e) SELECT a.seed, e.src, e.dst FROM e JOIN m a ON a.vertex = e.src JOIN m b ON b.vertex = e.dst AND a.seed = b.seed",
+    "neighbor_sample_whole": f"WITH {_DIR}, h AS (SELECT 0::BIGINT AS batch_id, 0::BIGINT AS hop_id, src, dst, weight FROM e) SELECT * FROM h UNION ALL SELECT 0, 1, src, dst, weight FROM e WHERE src IN (SELECT dst FROM h)",
+    "temporal_neighbor_sample_whole": f"""WITH b AS (SELECT DISTINCT o_custkey + {SUPPLIERS} AS c, l_partkey AS p, epoch(o_orderdate)::BIGINT AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+        SELECT 0::BIGINT AS hop_id, c AS src, p AS dst, t AS start_time FROM b UNION SELECT 1, b.p, b.c, b.t FROM b h JOIN b ON b.p = h.p AND b.t > h.t""",
     "neighbor_sample": f"WITH {_DIR}, {_V}, h AS (SELECT 0 AS batch_id, 0 AS hop_id, src, dst, weight FROM e WHERE src < 20) SELECT batch_id::BIGINT AS batch_id, hop_id::BIGINT AS hop_id, src, dst, weight FROM (SELECT * FROM h UNION ALL SELECT 0, 1, src, dst, weight FROM e WHERE src IN (SELECT dst FROM h))",
     "temporal_neighbor_sample": f"""WITH b AS (SELECT DISTINCT o_custkey + {SUPPLIERS} AS c, l_partkey AS p, epoch(o_orderdate)::BIGINT AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
         h AS (SELECT c AS src, p AS dst, t FROM b WHERE c < {SUPPLIERS} + 3)

@@ -126,3 +126,61 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert "pagerank" in e.queries() and "pagerank" in e.oracle_sql()
+
+
+def test_whole_queries(spark, tmp_path):
+    """Over ids beyond every cut of the queries for few ids, against brute force."""
+    import random
+    from datetime import datetime, timedelta
+
+    from graphloom.plans import queries
+
+    r = random.Random(4)
+    lines = [(o, n, r.randrange(2000, 2040), r.choice([20.0, 31.0, 40.0, 50.0])) for o in range(60) for n in range(4)]
+    orders = [(o, 700 + o % 9, datetime(2020, 1, 1) + timedelta(days=r.randrange(40))) for o in range(60)]
+    d = str(tmp_path)
+    spark.createDataFrame([(*x, 1) for x in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_suppkey long").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{d}/orders.parquet")
+
+    line = {(o, n): (p, w) for o, n, p, w in lines}
+    e = {}
+    for (o, n), (p, w) in line.items():
+        if w > 30 and line.get((o, n + 1), (0, 0))[1] > 30:
+            k = p, line[o, n + 1][0]
+            e[k] = min(w, e.get(k, w))
+    both = {}
+    for (a, b), w in e.items():
+        for k in {(a, b), (b, a)}:
+            both.setdefault(k, []).append(w)
+    u = {k: sum(w) / len(w) for k, w in both.items()}
+    v = {x for k in e for x in k}
+    two = {(a, c) for a, b in u for x, c in u if x == b}
+    steps = lambda pairs: {(a, c) for a, b in pairs for x, c in e if x == b}
+    got = lambda name: [tuple(x) for x in queries.QUERIES[name](spark, d).collect()]
+    assert sorted(got("two_hop_neighbors_whole")) == sorted(two)
+    assert sorted(got("has_edge_whole")) == sorted((a, b, int((a, b) in u)) for a, b in two)
+    assert sorted(got("k_hop_nbrs_whole")) == sorted(steps(steps(e)))
+    assert sorted(got("induced_subgraph_whole")) == sorted((a, b, w) for (a, b), w in e.items())
+    ego = {x: {x} | {b for a, b in u if a == x} for x in v}
+    assert sorted(got("ego_graph_whole")) == sorted((x, a, b) for x in v for a, b in u if {a, b} <= ego[x])
+    assert sorted(got("neighbor_sample_whole")) == sorted([(0, 0, a, b, w) for (a, b), w in e.items()] + [(0, 1, a, b, w) for (a, b), w in e.items() if a in {y for _, y in e}])
+    epoch = lambda t: int((t - datetime(1970, 1, 1)).total_seconds())
+    bought = {(c + queries.SUPPLIERS, p, epoch(t)) for o, c, t in orders for x, _, p, _ in lines if x == o}
+    later = {(1, p, c, t) for _, q, s in bought for c, p, t in bought if p == q and t > s}
+    assert sorted(got("temporal_neighbor_sample_whole")) == sorted({(0, c, p, t) for c, p, t in bought} | later)
+    for weighted in (False, True):
+        near = {x: {b: w if weighted else 1.0 for (a, b), w in u.items() if a == x} for x in v}
+        for name in similarity.NAMES:
+            expect = {}
+            for a, b in two:
+                x, y = near[a], near[b]
+                common = x.keys() & y.keys()
+                shared, wa, wb = sum(min(x[k], y[k]) for k in common), sum(x.values()), sum(y.values())
+                norm = lambda z: sum(z[k] ** 2 for k in common) ** 0.5  # noqa: B023, E731
+                expect[a, b] = {"jaccard": shared / (wa + wb - shared), "sorensen": 2 * shared / (wa + wb), "overlap": shared / min(wa, wb), "cosine": sum(x[k] * y[k] for k in common) / (norm(x) * norm(y))}[name]
+            found = {(a, b): c for a, b, c in got(f"{name}{'_weighted' if weighted else ''}_whole")}
+            assert found.keys() == expect.keys() and all(abs(found[k] - expect[k]) < 1e-6 for k in expect)
+    for kind in ("uniform", "biased", "node2vec"):
+        walks = got(f"{kind}_random_walks")
+        assert sorted(path[0] for _, path, _ in walks) == sorted(v)
+        assert all((a, b) in u for _, path, _ in walks for a, b in zip(path, path[1:]))
