@@ -1,18 +1,18 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: a lossless filter by kept runs of words, exact edit verification.
 
-Texts are sequences of folded words.  A window of a document, as long as a benchmark item, is embedded by the random walk
-of Chakraborty, Goldenberg and Koucky: at each of 3 n steps the symbol under the pointer is put out, and a random bit of
-(step, symbol) says whether the pointer moves; sequences at a small edit distance then agree in most places.  Each of
-TABLES hash tables samples SAMPLED places of the walk; a window that meets an item in any table is a candidate, and
-candidates are verified by the exact edit distance between the item and the best-fitting run of words around the window.
+Texts are sequences of folded words.  An item of n words has m = n - q + 1 runs of q words (its grams).  Each edit of a
+word touches q of them at most, so any run of a document's words within e edits of the item keeps m - q e of the grams, at
+n + e - q places from first to last at most.  Places of a document with so many of an item's grams so near together are
+candidates; the text around them, as far as such a run reaches, is verified by the exact edit distance between the item
+and its best-fitting run of words.  None within the tolerance is lost, whatever the item's length.  Pairs of words (q = 2)
+serve where the bound stays positive, single words otherwise.
 
-With at most `tolerance` of an item's n words edited, a window that holds it keeps n - 1 - 2 e of its word pairs (each
-edit touches two), so windows with fewer pairs known to items of that length are not embedded, and those with fewer of the
-item's own not verified; none within the tolerance is lost.
+Of any q e + 1 grams of an item at least one is kept, so only documents with one of the item's rarest q e + 1 are looked at.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,50 +21,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .kernels import U64, blocks, flat_text, gram_hashes, mix, ragged
+from .kernels import U64, blocks, flat_text, gram_hashes, ragged
 from .statistics import folded_words
 
-TABLES, SAMPLED = 48, 2
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in several passes.
 BROADCAST = 16 << 20
+#: Meetings of a block's grams with items that are held at once, but for a single document.
+MEETINGS = 4 << 20
 
 
-def walk(symbols: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """CGK walks of windows of n symbols, one row each; behind a window's end the walk puts out zeros."""
-    out = np.zeros((len(starts), 3 * n), dtype=U64)
-    at = np.zeros(len(starts), dtype=np.int64)
-    last = len(symbols) - 1
-    for step in range(3 * n):
-        inside = at < n
-        s = np.where(inside, symbols[np.minimum(starts + at, last)], U64(0))
-        out[:, step] = s
-        at += (mix(s + U64(step * 0x9E3779B97F4A7C15 % 2**64)) & U64(1)).astype(np.int64)
-    return out
-
-
-def samples(n: int) -> np.ndarray:
-    """Places of the walk that each table looks at."""
-    return np.random.default_rng(n).integers(0, 2 * n, (TABLES, SAMPLED))
-
-
-def table_keys(walks: np.ndarray, n: int) -> np.ndarray:
-    """One key for each window and table."""
-    places = samples(n)
-    keys = np.zeros((len(walks), TABLES), dtype=U64) + np.arange(TABLES, dtype=U64)
-    for j in range(SAMPLED):
-        keys = mix(keys * U64(0x9E3779B97F4A7C15) + walks[:, places[:, j]])
-    return keys
-
-
-def fit_distance(item: np.ndarray, text: np.ndarray) -> int:
-    """Least edit distance between item and any run of words in text."""
-    row = np.zeros(len(text) + 1, dtype=np.int64)
+def _last_row(item: np.ndarray, text: np.ndarray, anchored: bool) -> np.ndarray:
+    """Least edit distances between item and the runs of words that end behind each word of text, begun anywhere or at its start."""
     steps = np.arange(len(text) + 1)
+    row = steps.copy() if anchored else np.zeros_like(steps)
     for i, word in enumerate(item, 1):
         best = np.minimum(row[1:] + 1, row[:-1] + (text != word))
         new = np.concatenate(([i], best))
         row = np.minimum.accumulate(new - steps) + steps  # insertions run on from the left
-    return int(row.min())
+    return row
+
+
+def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """Least edit distance between item and any run of words in text, and where the first such run to end begins."""
+    row = _last_row(item, text, False)
+    end = int(row.argmin())
+    return int(row[end]), end - int(_last_row(item[::-1], text[:end][::-1], True).argmin())
 
 
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -74,59 +55,102 @@ def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+class Postings:
+    """Items by the hashes of their grams."""
+
+    def __init__(self, grams: list[np.ndarray], owners: list[int]):
+        flat = np.concatenate(grams) if grams else np.zeros(0, dtype=U64)
+        owner = np.repeat(np.array(owners, dtype=np.int64), [len(g) for g in grams])
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.known, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def hits(self, grams: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(_within(grams, self.known))
+
+    def sizes(self, grams: np.ndarray) -> np.ndarray:
+        """Owners of each gram, all of them known."""
+        return self.count[np.searchsorted(self.known, grams)]
+
+    def owners(self, grams: np.ndarray) -> np.ndarray:
+        return self.owner[ragged(self.first[np.searchsorted(self.known, grams)], self.sizes(grams))]
+
+
 class Index:
-    """Benchmark items by length and table."""
+    """Benchmark items by their grams."""
 
     def __init__(self, items: list[tuple[int, str]], tolerance: float):
-        self.symbols, self.ids, pairs = [], [], []
-        self.by_length: dict[int, list[int]] = {}
+        self.symbols, self.ids = [], []
         for item_id, text in items:
             data = np.frombuffer((text or "").encode(), dtype=np.uint8)
             words, _ = folded_words(data, np.array([0, len(data)]))
             if len(words.hash):
-                self.by_length.setdefault(len(words.hash), []).append(len(self.ids))
                 self.ids.append(item_id)
                 self.symbols.append(words.hash)
-                pairs.append(gram_hashes(words.hash, 2))
-        self.allowed = {n: int(n * tolerance) for n in self.by_length}
-        self.pairs_of = {n: np.unique(np.concatenate([pairs[i] for i in members])) for n, members in self.by_length.items()}
-        self.own = pairs
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=U64)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n, members in self.by_length.items():
-            keys = np.concatenate([table_keys(walk(self.symbols[i], np.zeros(1, dtype=np.int64), n), n) for i in members])
-            owner = np.repeat(np.array(members), TABLES)
-            order = np.argsort(keys.ravel(), kind="stable")
-            self.tables[n] = keys.ravel()[order], owner[order]
-
-    def candidates(self, symbols: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """Window starts by (document, item)."""
-        found: dict[tuple[int, int], list[int]] = {}
-        if not len(symbols):
-            return found
-        grams = gram_hashes(symbols, 2)
-        hit = np.flatnonzero(_within(grams, self.pairs))
-        doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        stop = bounds[1:][doc_of]
-        for n, (keys, owner) in self.tables.items():
-            need = n - 1 - 2 * self.allowed[n]
-            if need > 0:
-                k = hit[_within(grams[hit], self.pairs_of[n])]
-                # Windows with k[j] to k[j + need - 1] among their pairs start from k[j + need - 1] - n + 2 to k[j].
-                a, z = np.maximum(k[need - 1 :] - n + 2, 0), k[: max(0, len(k) - need + 1)]
-                starts = np.unique(np.repeat(a, np.maximum(z - a + 1, 0)) + ragged(np.zeros_like(a), np.maximum(z - a + 1, 0)))
-            else:
-                starts = np.arange(len(symbols))
-            # A passage with words left out may lie at a document's end: windows may be shorter by as much.
-            starts = starts[starts + n - self.allowed[n] <= stop[starts]]
-            for low in range(0, len(starts), 4096):
-                some = starts[low : low + 4096]
-                mine = table_keys(walk(symbols, some, n), n)
-                a, b = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
-                for w, t in np.argwhere(b > a).tolist():
-                    for i in set(owner[a[w, t] : b[w, t]].tolist()):
-                        found.setdefault((int(doc_of[some[w]]), i), []).append(int(some[w]))
-        return found
+        self.n = np.array([len(x) for x in self.symbols], dtype=np.int64)
+        self.allowed = np.array([int(len(x) * tolerance) for x in self.symbols], dtype=np.int64)
+        size = np.where(self.n - 1 - 2 * self.allowed > 0, 2, 1)
+        self.need = self.n - size + 1 - size * self.allowed
+        self.grams: dict[int, tuple[Postings, Postings]] = {}
+        for q in sorted(set(size.tolist())):
+            members = np.flatnonzero(size == q).tolist()
+            every = [gram_hashes(self.symbols[i], q) for i in members]
+            own = [np.unique(g) for g in every]
+            often = Counter(np.concatenate(own).tolist())
+            rare = [np.unique(np.array(sorted(g.tolist(), key=lambda x: (often[x], x))[: q * self.allowed[i] + 1], dtype=U64)) for i, g in zip(members, every)]
+            self.grams[q] = Postings(own, members), Postings(rare, members)
+
+    def candidates(self, symbols: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Document, item, first and past-the-last word of texts that hold every run within the tolerance."""
+        for q, (every, rare) in self.grams.items():
+            grams = gram_hashes(symbols, q)
+            doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(grams)]
+            grams_end = bounds[1:][doc_of] - q + 1
+            inside = np.flatnonzero(np.arange(len(grams)) < grams_end)
+            at = inside[rare.hits(grams[inside])]
+            seeds = [np.zeros(0, dtype=np.int64)]
+            for some in _dealt(at, doc_of, rare.sizes(grams[at])):
+                seeds.append(np.unique(np.repeat(doc_of[some], rare.sizes(grams[some])) * len(self.ids) + rare.owners(grams[some])))
+            met = np.concatenate(seeds)  # ascending, as documents are never dealt apart
+            seeded = np.zeros(len(bounds), dtype=bool)
+            seeded[met // max(1, len(self.ids))] = True
+            inside = inside[seeded[doc_of[inside]]]
+            at = inside[every.hits(grams[inside])]
+            for some in _dealt(at, doc_of, every.sizes(grams[at])):
+                sizes = every.sizes(grams[some])
+                key = np.repeat(doc_of[some], sizes) * len(self.ids) + every.owners(grams[some])
+                keep = np.flatnonzero(_within(key, met))
+                key, place = key[keep], np.repeat(some, sizes)[keep]
+                order = np.argsort(key, kind="stable")
+                key, place = key[order], place[order]
+                item = key % len(self.ids)
+                j = np.arange(len(key))
+                last = j + self.need[item] - 1
+                j = j[last < len(key)]
+                last = last[j]
+                reach = (self.n + self.allowed)[item[j]]
+                near = (key[last] == key[j]) & (place[last] - place[j] <= reach - q)
+                j, last, reach = j[near], last[near], reach[near]
+                doc = key[j] // len(self.ids)
+                low = np.maximum(place[last] + q - reach, bounds[doc])
+                high = np.minimum(place[j] + reach, bounds[doc + 1])
+                new = np.ones(len(j), dtype=bool)
+                new[1:] = (key[j][1:] != key[j][:-1]) | (low[1:] > high[:-1])
+                first = np.flatnonzero(new)
+                final = np.append(first[1:], len(j))[: len(first)] - 1
+                yield from zip(doc[first].tolist(), item[j[first]].tolist(), low[first].tolist(), high[final].tolist())
+
+
+def _dealt(at: np.ndarray, doc_of: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Cuts places into parts of about MEETINGS meetings, no document in two."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(at):
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + MEETINGS, side="right"))
+        if high < len(at):
+            begin = int(np.searchsorted(doc_of[at], doc_of[at[high]]))
+            high = begin if begin > low else int(np.searchsorted(doc_of[at], doc_of[at[low]], side="right"))
+        yield at[low:high]
+        low = high
 
 
 def _leaks(items: list[tuple[int, str]], tolerance: float):
@@ -138,30 +162,12 @@ def _leaks(items: list[tuple[int, str]], tolerance: float):
         index = made[0]
         for block in blocks(batches, 2 << 20):
             words, _ = folded_words(*flat_text(block.column("text")))
-            ids, rows = block.column("doc_id").to_pylist(), []
-            for (d, i), starts in index.candidates(words.hash, words.bounds).items():
-                item, n = index.symbols[i], len(index.symbols[i])
-                allowed = index.allowed[n]
-                low, high = words.bounds[d], words.bounds[d + 1]
-                best, seen = None, -1
-                # The same bound for the item's own pairs, over all the text that its best run may lie in.
-                starts = np.unique(starts)
-                first, grams = max(low, starts[0] - allowed), gram_hashes(words.hash[max(low, starts[0] - allowed) : min(high, starts[-1] + n + 2 * allowed)], 2)
-                own = np.concatenate(([0], np.cumsum(np.isin(grams, index.own[i]))))
-                reach = np.clip(starts + n + 2 * allowed - 1 - first, 0, len(grams)), np.clip(starts - allowed - first, 0, len(grams))
-                starts = starts[own[reach[0]] - own[reach[1]] >= n - 1 - 2 * allowed]
-                for s in starts.tolist():
-                    if s < seen:
-                        continue
-                    a, b = max(low, s - allowed), min(high, s + n + 2 * allowed)
-                    k = fit_distance(item, words.hash[a:b])
-                    if k <= allowed and (best is None or k < best[0]):
-                        best = (k, s - int(low))
-                    seen = s + max(1, allowed // 2)  # the text around reaches as far on either side
-                    if best and best[0] == 0:
-                        break
-                if best:
-                    rows.append((ids[d], index.ids[i], best[1], n, best[0]))
+            ids, found = block.column("doc_id").to_pylist(), {}
+            for d, i, low, high in index.candidates(words.hash, words.bounds):
+                k, start = best_run(index.symbols[i], words.hash[low:high])
+                if k <= index.allowed[i]:
+                    found[d, i] = min(found.get((d, i), (k, low + start)), (k, low + start))
+            rows = [(ids[d], index.ids[i], start - int(words.bounds[d]), len(index.symbols[i]), k) for (d, i), (k, start) in found.items()]
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], ["doc_id", "item_id", "start_word", "n_words", "distance"])
 
@@ -173,8 +179,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, tolerance: float = 0.2) -> D
 
     An item is in a document if some run of its folded words (lower case, letters and digits) is within tolerance *
     n_words word edits of the item's.  Null or empty items and texts have no words and never meet.  A row of docs gives
-    at most one row for each item, with the least distance verified.  Other columns are ignored.
+    one row for each item found, with the least distance and the first word of a run that has it.  Other columns are
+    ignored.
     """
+    if not 0 <= tolerance < 1:
+        raise ValueError("the tolerance is a share of an item's words, below 1")
     docs = shared.documents(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]

@@ -148,6 +148,47 @@ def test_leaks(spark, docs, empty):
     assert decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+def last_row(item, text, row):
+    """Edit distances of item to the ends of text by the plain table; row has zeros if runs of text begin anywhere."""
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row
+
+
+@pytest.mark.parametrize("tolerance", [0.2, 0.5])
+def test_leaks_lose_none(tolerance, monkeypatch):
+    monkeypatch.setattr(decontamination, "MEETINGS", 300)
+    r = random.Random(8)
+    common = [f"w{k}" for k in range(150)]
+    items = [(i, [r.choice(common) for _ in range(n)]) for i, n in enumerate([1, 2, 3, 5, 9, 15, 40, 60, 100, 200, 200])]
+    texts = []
+    for i, w in items:
+        for kind in ("sub", "del", "ins", "mixed") if len(w) > 3 else ("none",):
+            for extra in (0, 1):
+                w2 = list(w)
+                for _ in range(int(len(w) * tolerance) + extra if kind != "none" else 0):
+                    p, what = r.randrange(len(w2)), kind if kind != "mixed" else r.choice(("sub", "del", "ins"))
+                    if what == "sub":
+                        w2[p] = r.choice(common)
+                    elif what == "del":
+                        del w2[p]
+                    else:
+                        w2.insert(p, r.choice(common))
+                texts.append([r.choice(common) for _ in range(r.randrange(20))] + w2 + [r.choice(common) for _ in range(r.randrange(20))])
+    texts.append([])
+    run = decontamination._leaks([(i, " ".join(w)) for i, w in items], tolerance)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), type=pa.int64()), pa.array([" ".join(t) for t in texts])], ["doc_id", "text"])
+    got = {(x["doc_id"], x["item_id"]): x for out in run(iter([batch])) for x in out.to_pylist()}
+    expect = {(d, i): k for d, t in enumerate(texts) for i, w in items if t and (k := min(last_row(w, t, [0] * (len(t) + 1)))) <= int(len(w) * tolerance)}
+    assert {k: x["distance"] for k, x in got.items()} == expect
+    for (d, i), x in got.items():
+        rest = texts[d][x["start_word"] :]
+        assert min(last_row(items[i][1], rest, list(range(len(rest) + 1)))) == x["distance"]
+
+
 def test_licences(spark, empty):
     texts = [(1, "Released under the MIT License. mit license"), (2, None), (3, "MIT, License; Apache\nLICENSE"), (4, "GNU General Public License"), (5, "mit licensed"), (6, "Licensed under CC BY-NC 4.0"), (7, ""), (8, "mit")]
     got = rows(licences.licence_scan(spark.createDataFrame(texts, "doc_id long, text string")))
