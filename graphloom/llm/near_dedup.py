@@ -1,19 +1,20 @@
 """Near-duplicate documents by a multi-index Hamming join over b-bit MinHash signatures.
 
 A document is its set of distinct word shingles.  Documents with equal sets form a class first, so that copies never meet
-as pairs.  Each class gets a signature of SYMBOLS minima of b = 16 bits.  Two signatures that differ in at most RADIUS
-symbols must, split into CHUNKS chunks, agree in one chunk but for at most RADIUS // CHUNKS = 1 symbol (pigeonhole); so
-each chunk is indexed once for each symbol left out, and every pair within RADIUS shares an index key.
+as pairs.  Each class gets a signature of SYMBOLS minima of b = 16 bits.  Two signatures that differ in at most `radius`
+symbols must, split into radius // 2 + 1 chunks, agree in one chunk but for at most 1 symbol (pigeonhole); so each chunk is
+indexed once for each symbol left out, and every pair within the radius shares an index key.
 
 Pairs within a key are never all written out.  In each key the class that lies in the most crowded keys leads; members
 are compared with their leader first, and confirmed links merge components.  Only then do members of a key that still lie
-in different components meet, within RADIUS.  Links are confirmed on full sets of shingles, so no link is false; a link at
-the threshold itself is missed with probability P[Binomial(SYMBOLS, 1 - similarity) > RADIUS], about 1e-4.
+in different components meet, within the radius.  Links are confirmed on full sets of shingles, so no link is false; the
+radius follows the threshold, so that a link at the threshold itself is missed with a probability of MISS at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,20 @@ from . import shared
 from .components import connected_components
 from .kernels import LOWER, U64, Words, blocks, flat_text, gram_hashes, mix, ragged
 
-SYMBOLS, CHUNKS, RADIUS = 32, 7, 13
+SYMBOLS, MISS = 32, 1e-4
 #: A signature is packed four symbols to a column.
 PACKED = [f"s{i}" for i in range(SYMBOLS // 4)]
 _seeds = np.random.default_rng(85).integers(1, 2**63, SYMBOLS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_CHUNK = np.array_split(np.arange(SYMBOLS), CHUNKS)
+
+
+def missed(radius: int, percent: int) -> float:
+    """P[Binomial(SYMBOLS, 1 - percent / 100) > radius]: the share of links at the threshold that lie beyond the radius."""
+    p = 1 - percent / 100
+    return sum(comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(radius + 1, SYMBOLS + 1))
+
+
+def radius_of(percent: int) -> int:
+    return next(r for r in range(SYMBOLS + 1) if missed(r, percent) <= MISS)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,22 +105,27 @@ def _symbols(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy() for c in PACKED], axis=1).view(np.uint16).reshape(-1, SYMBOLS)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(radius: int):
     """Index keys of signatures: for each chunk, the chunk without each one of its symbols."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        symbols, ids = _symbols(batch).astype(U64), batch.column("class_id")
-        keys = []
-        for c, chunk in enumerate(_CHUNK):
-            for out in chunk:
-                key = np.full(len(symbols), (c << 8) + int(out), dtype=U64)
-                for j in chunk:
-                    if j != out:
-                        key = mix(key * U64(0x9E3779B97F4A7C15) + symbols[:, j])
-                keys.append(key)
-        flat = np.stack(keys, axis=1).reshape(-1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), ids.take(pa.array(np.repeat(np.arange(len(symbols)), len(keys))))], ["key", "class_id"])
+    chunks = np.array_split(np.arange(SYMBOLS), radius // 2 + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            symbols, ids = _symbols(batch).astype(U64), batch.column("class_id")
+            keys = []
+            for c, chunk in enumerate(chunks):
+                for out in chunk:
+                    key = np.full(len(symbols), (c << 8) + int(out), dtype=U64)
+                    for j in chunk:
+                        if j != out:
+                            key = mix(key * U64(0x9E3779B97F4A7C15) + symbols[:, j])
+                    keys.append(key)
+            flat = np.stack(keys, axis=1).reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), ids.take(pa.array(np.repeat(np.arange(len(symbols)), len(keys))))], ["key", "class_id"])
+
+    return run
 
 
 def _distance(x: str, y: str) -> str:
@@ -127,7 +142,7 @@ def _distance(x: str, y: str) -> str:
 
 
 def _near(percent: int) -> str:
-    return f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles) AND {_distance('x', 'y')} <= {RADIUS}"
+    return f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles) AND {_distance('x', 'y')} <= {radius_of(percent)}"
 
 
 def _linked(k: int, percent: int):
@@ -180,7 +195,7 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -
         some.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(c).alias(c) for c in PACKED]),
         "near-classes",
     )
-    keys = classes.select("class_id", *PACKED).mapInArrow(_keys, "key bigint, class_id bigint")
+    keys = classes.select("class_id", *PACKED).mapInArrow(_keys(radius_of(percent)), "key bigint, class_id bigint")
     crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keys = shared.written(keys.join(crowds.hint("merge"), "key"), "near-keys")
     # The leader of a key is the class in the most crowded keys; the smaller id among equals.

@@ -253,3 +253,24 @@ def test_pipeline_stages(spark, tmp_path):
         kept = stage(spark, docs, source)
         assert kept.columns == docs.columns, name
     assert [len(corpus_pipeline.STAGES)] == [5]
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
+def test_near_radius_follows_the_threshold(percent):
+    assert near_dedup.missed(near_dedup.radius_of(percent), percent) <= near_dedup.MISS < near_dedup.missed(near_dedup.radius_of(percent) - 1, percent)
+
+
+def test_near_links_beyond_thirteen_symbols(spark):
+    r, texts = random.Random(6), []
+    for i in range(6000):
+        w = [f"w{r.randrange(10**9)}" for _ in range(90)]
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:80], *(f"v{r.randrange(10**9)}" for _ in range(10))]))]  # 80 of 100 words in common
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts], type=pa.int64()), pa.array([t for _, t in texts])], ["doc_id", "text"])
+    signed = pa.Table.from_batches(near_dedup._signed(1)(iter([batch]))).combine_chunks().to_batches()[0]
+    symbols = near_dedup._symbols(signed)
+    far = (symbols[::2] != symbols[1::2]).sum(axis=1)
+    pairs = np.flatnonzero((far > 13) & (far <= near_dedup.radius_of(80)))
+    assert len(pairs)
+    some = [x for p in pairs.tolist() for x in texts[2 * p : 2 * p + 2]]
+    got = rows(near_dedup.near_groups(spark.createDataFrame(some, "doc_id long, text string"), shingle_words=1, percent=80))
+    assert all(got[i]["component_id"] == i - i % 2 for i, _ in some)
