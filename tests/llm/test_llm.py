@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, byte_dedup, decontamination, exact_dedup, licences, near_dedup, private, quality, substring_dedup, suffix_array, toxicity
+from graphloom.llm import bpe, byte_dedup, decontamination, exact_dedup, licences, near_dedup, private, quality, shared, substring_dedup, suffix_array, toxicity
 
 SCHEMA = "doc_id long, text string, digest string, kept int"  # the last two clash with names of the operators
 
@@ -274,3 +274,64 @@ def test_near_links_beyond_thirteen_symbols(spark):
     some = [x for p in pairs.tolist() for x in texts[2 * p : 2 * p + 2]]
     got = rows(near_dedup.near_groups(spark.createDataFrame(some, "doc_id long, text string"), shingle_words=1, percent=80))
     assert all(got[i]["component_id"] == i - i % 2 for i, _ in some)
+
+
+def test_pipeline_rows(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    import corpus_pipeline
+    import public_tokenizers as p
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9)))
+    good = [[word() for _ in range(60)] for _ in range(120)]
+    items = [[word() for _ in range(n)] for n in (15, 40, 100)]
+    texts = [" ".join(w) for w in good]
+    texts += texts[:10]  # copies
+    texts += [" ".join([*w[:-1], "changed"]) for w in good[10:20]]  # near copies
+    texts += [" ".join("changed" if k in (10, 25, 40) else x for k, x in enumerate(w)) for w in good[20:30]]  # not near enough
+    for w, item in zip(good[30:36], items * 2):
+        edited = list(item)
+        for k in r.sample(range(len(item)), len(item) // 5):
+            edited[k] = "other"
+        texts.append(" ".join(w[:20] + edited + w[:20][::-1]))  # leaks at the tolerance
+        texts.append(" ".join(w[:20][::-1] + item[: len(item) // 2] + w[40:]))  # half an item
+    clean = len(texts)
+    texts += [" ".join(w).upper() + " !!! %%% $$$" * 10 for w in ([word() for _ in range(60)] for _ in range(60))]
+    d = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i < clean)) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    def near(ids):
+        sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i in ids for w in [texts[i].split()]}
+        component = {i: i for i in ids}
+        for a in ids:
+            for b in ids:
+                if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    old, new = max(component[a], component[b]), min(component[a], component[b])
+                    component = {k: new if v == old else v for k, v in component.items()}
+        return {i for i in ids if component[i] == i}
+
+    def leaked(i):
+        w = texts[i].split()
+        return any(min(last_row(x, w, [0] * (len(w) + 1))) <= len(x) // 5 for x in items)
+
+    brute = {
+        "quality": lambda ids: {i for i in ids if i < clean},
+        "exact copies": lambda ids: set({texts[i]: i for i in sorted(ids)}.values()),
+        "near copies": near,
+        "benchmark leaks": lambda ids: {i for i in ids if not leaked(i)},
+    }
+    docs, ids = spark.read.parquet(f"{d}/documents.parquet"), set(range(len(texts)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, ids = ids, brute[name](ids)
+        docs = shared.written(stage(spark, docs, d), f"test-{name.replace(' ', '-')}")
+        assert ids < before and sorted((x["doc_id"], x["text"]) for x in docs.collect()) == [(i, texts[i]) for i in sorted(ids)], name
+    with open(p.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    known = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expect = [(i, len(t), sha(",".join(map(str, t))), sha(texts[i])) for i in sorted(ids) for t in [known.encode_ordinary(texts[i])]]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == expect
