@@ -24,6 +24,7 @@ from .statistics import folded_words
 #: Documents that are learnt from, at most; buckets; places in a text's set of features that one sample row may take.
 POSITIVE, UNLABELLED, BUCKETS, PREFIXES = 4000, 12000, 1 << 18, (4, 5)
 EPOCHS, RATE, DECAY, DOUBT = 30, 0.5, 1e-5, 2.5
+ALIKE = 0.7
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +67,29 @@ class Classifier:
 
 
 def distinct(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """One of all documents whose features agree in the three that hash least, so that copies don't count as evidence."""
-    kept: dict[bytes, np.ndarray] = {}
+    """Documents without copies and near copies, so that these don't count as evidence.
+
+    Of documents whose features agree in the three that hash least, one is dropped if its features and those of one kept
+    are alike to ALIKE at least (Jaccard similarity); others stay.
+    """
+    groups: dict[bytes, list[np.ndarray]] = {}
     for d in docs:
-        kept.setdefault(np.sort(mix(d.astype(U64)))[:3].tobytes(), d)
-    return list(kept.values())
+        groups.setdefault(np.sort(mix(d.astype(U64)))[:3].tobytes(), []).append(d)
+    kept, mark = [], np.zeros(BUCKETS, dtype=np.int64)
+    for group in groups.values():
+        if not len(group[0]):
+            kept.append(group[0])
+            continue
+        size = np.array([len(d) for d in group])
+        flat, first, stays = np.concatenate(group), np.cumsum(size) - size, np.ones(len(group), dtype=bool)
+        for i, d in enumerate(group):
+            if stays[i]:
+                kept.append(d)
+                mark[d] = 1
+                both = np.add.reduceat(mark[flat], first)
+                mark[d] = 0
+                stays &= both < ALIKE * (len(d) + size - both)
+    return kept
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
@@ -141,8 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int]) -
     share = known.agg(F.avg("y").alias("p"), F.sum("y").alias("n")).first()
     prior = min(max(share["p"] or 0.0, 1e-3), 0.5)
     order = F.xxhash64("doc_id")
-    positive = known.where("y = 1").select("doc_id").distinct().orderBy(order).limit(POSITIVE).select("doc_id", F.lit(1).alias("kind"))
-    unlabelled = docs.select("doc_id").distinct().where(~shared.in_fold(*fold)).orderBy(order).limit(UNLABELLED).select("doc_id", F.lit(0).alias("kind"))
+    # Of exact copies one is drawn from, so that large groups leave room for other texts.
+    texts = docs.where(~shared.in_fold(*fold)).select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))
+    one = lambda df: df.groupBy("hash", "size").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    positive = one(texts.join(known.where("y = 1").select("doc_id").distinct(), "doc_id")).orderBy(order).limit(POSITIVE).select("doc_id", F.lit(1).alias("kind"))
+    unlabelled = one(texts).orderBy(order).limit(UNLABELLED).select("doc_id", F.lit(0).alias("kind"))
     sample = docs.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("kind", "text")
     table = sample.mapInArrow(_featured, "kind int, x array<int>").toArrow()  # POSITIVE + UNLABELLED rows at most
     kind, x = table.column("kind").to_numpy(), [np.asarray(v, dtype=np.int64) for v in table.column("x").to_pylist()]

@@ -335,3 +335,25 @@ def test_pipeline_rows(spark, tmp_path):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     expect = [(i, len(t), sha(",".join(map(str, t))), sha(texts[i])) for i in sorted(ids) for t in [known.encode_ordinary(texts[i])]]
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == expect
+
+
+def test_toxicity_drops_copies_only():
+    low = np.argsort(toxicity.mix(np.arange(3000).astype(np.uint64)))
+    least, rest = low[:3], np.sort(low[3:])
+    text = lambda a, b: np.sort(np.concatenate((least, rest[a:b])))
+    docs = [text(0, 40), text(0, 40), text(0, 42), text(100, 140), text(20, 60), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)]
+    kept = toxicity.distinct(docs)
+    assert [x.tolist() for x in kept] == [docs[i].tolist() for i in (0, 3, 4, 5)]
+
+
+def test_toxicity_draws_from_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UNLABELLED", 60)
+    drawn = []
+    monkeypatch.setattr(toxicity, "train", lambda positive, unlabelled, prior: drawn.append((len(positive), len(unlabelled))) or toxicity.Classifier())
+    texts = [(i, "the same text again" if i % 4 else f"text {i} of its own x{i}y") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(400)], "doc_id long, toxic int")
+    toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels, "toxic", (5, 0))
+    assert drawn == [(1, 60)]
+    monkeypatch.setattr(toxicity, "UNLABELLED", 400)
+    toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels, "toxic", (5, 0))
+    assert drawn[1][0] == 1 and 60 < drawn[1][1] <= 101
