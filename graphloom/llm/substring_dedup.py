@@ -1,11 +1,10 @@
-"""Repeated word sequences by relative Lempel-Ziv parsing.
+"""Repeated word sequences by a join of window hashes.
 
 The reference is the corpus itself, cut into blocks by the hash of a window of words; each block is an index from window
 to the places where it starts.  Only windows whose anchor occurs twice (see `anchors`) can be in a block twice, so only
-those are indexed and looked up, each in the one block that could hold it.  A document is then parsed from left to right:
-at each place with a match the factor is extended as far as its source goes on to match, and the parse goes on behind it.
-Factors end where the source ends, but a window may straddle two factors; so the starts in a factor's last words are
-looked up like all others.  Factors of at least `window` words become duplicate spans.
+those are indexed and looked up, each in the one block that could hold it.  Windows match if their 64-bit hashes do; words
+are not compared.  The words under matching windows are the duplicate spans.  Matches at consecutive places of a document
+whose sources are consecutive too are then put together as its factors, which only describe the spans.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ _FACTOR = pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("source_do
 
 
 def parse(starts: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray, window: int) -> list[dict]:
-    """Greedy factors of one document from its matching starts, in order, and a source of each."""
+    """Factors of one document: runs of its matching starts, in order, whose sources run on too, and a source of each."""
     if not len(starts):
         return []
     goes_on = np.zeros(len(starts), dtype=bool)
