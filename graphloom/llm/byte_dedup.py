@@ -24,7 +24,7 @@ from .kernels import U64, blocks, cover, flat_text, ragged, spans
 from .suffix_array import shared_prefixes, suffix_array
 
 GRAM = 24
-#: Symbols in one suffix array; a single anchor's contexts beyond that are compared window by window.
+#: Symbols in one suffix array; a single anchor's contexts beyond four times that are compared window by window.
 TEXT = 250_000
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
 
