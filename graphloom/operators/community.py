@@ -102,7 +102,7 @@ def leiden(g: Graph, max_iter: int = 100, resolution: float = 1.0, random_state:
     return flat, q
 
 
-def ecg(g: Graph, min_weight: float = 1e-4, ensemble_size: int = 16, max_level: int = 10, threshold: float = 1e-7, resolution: float = 1.0, random_state: int = 42) -> tuple[DataFrame, float]:
+def ecg(g: Graph, min_weight: float = 1e-4, ensemble_size: int = 100, max_level: int = 10, threshold: float = 1e-7, resolution: float = 1.0, random_state: int = 42) -> tuple[DataFrame, float]:
     """Ensemble clustering: edges are weighed by how often one-level clusterings of shuffled ids keep both ends together."""
     base = cut(g.weighted_edges.select("src", "dst", "weight"))
     m = base.agg(F.sum("weight")).first()[0] or 0.0

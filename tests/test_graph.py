@@ -72,6 +72,12 @@ def test_communities(u16):
     assert q > 0.2
 
 
+def test_ecg_default_is_the_reference_signature():
+    from inspect import signature
+
+    assert signature(community.ecg).parameters["ensemble_size"].default == 100
+
+
 def test_degrees_cores_trees(d8, u16):
     d = structure.degrees(d8)
     assert column(d, "in_degree") == [1, 2, 0, 2, 1, 2] and column(d, "out_degree") == [1, 2, 3, 1, 1, 0]
