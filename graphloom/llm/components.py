@@ -32,5 +32,7 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components were not found in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))

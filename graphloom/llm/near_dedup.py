@@ -5,9 +5,16 @@ as pairs.  Each class gets a signature of SYMBOLS minima of b = 16 bits.  Two si
 symbols must, split into radius // 2 + 1 chunks, agree in one chunk but for at most 1 symbol (pigeonhole); so each chunk is
 indexed once for each symbol left out, and every pair within the radius shares an index key.
 
-Pairs within a key are never all written out.  In each key the class that lies in the most crowded keys leads; members
-are compared with their leader first, and confirmed links merge components.  Only then do members of a key that still lie
-in different components meet, within the radius.  Links are confirmed on full sets of shingles, so no link is false; the
+Pairs within a key are never written out.  In each key the class that lies in the most crowded keys leads, and keys with
+one leader make one group.  A group of up to BLOCK shingles is settled in one task: its members are compared with the
+one nearest to the group's majority, then only those beyond that one's component with the others, on full sets.
+
+A larger group is dealt over many tasks and only compared with such a leader L.  With c = |x & L|, two members x and y in
+different components whose common shingles all lie in L have |x & y| <= min(c_x, c_y).  As a link needs |x & y| >=
+percent / 100 * max(|x|, |y|), either that bound allows a link, which sizes tell, and the pair goes on as a group of two;
+or x and y share at least percent / 100 * |x| - c_x shingles outside L, so that the first |x| - c_x - that + 1 of x's, in
+any fixed order, hold one of the first of y's; members with such a shingle in common go on as a group.  These groups are
+settled in the same way until none is left.  So every link between members of a key is found, none is false, and the
 radius follows the threshold, so that a link at the threshold itself is missed with a probability of MISS at most.
 """
 
@@ -26,6 +33,8 @@ from .components import connected_components
 from .kernels import LOWER, U64, Words, blocks, flat_text, gram_hashes, mix, ragged
 
 SYMBOLS, MISS = 32, 1e-4
+#: Shingles of a group that one task settles.
+BLOCK = 1 << 18
 #: A signature is packed four symbols to a column.
 PACKED = [f"s{i}" for i in range(SYMBOLS // 4)]
 _seeds = np.random.default_rng(85).integers(1, 2**63, SYMBOLS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -128,56 +137,205 @@ def _keys(radius: int):
     return run
 
 
-def _distance(x: str, y: str) -> str:
-    """SQL for the number of symbols in which the packed signatures of x and y differ."""
+def _set_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, 1 << 20):
+            found, bounds = shingles(*flat_text(block.column("text")), k)
+            offsets = (bounds * 8).astype(np.int64)
+            packed = pa.Array.from_buffers(pa.large_binary(), len(block), [None, pa.py_buffer(offsets), pa.py_buffer(found)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), packed], ["class_id", "shingles"])
 
-    def differ(c: str) -> str:
-        z = f"({x}.{c} ^ {y}.{c})"
-        z = f"(({z} | shiftrightunsigned({z}, 8)) & 71777214294589695)"  # 0x00FF in each lane of 16 bits
-        for n in (4, 2, 1):
-            z = f"({z} | shiftrightunsigned({z}, {n}))"
-        return f"bit_count({z} & 281479271743489)"  # 0x0001 in each lane
+    return run
+
+
+class _Members:
+    """Sets of a group's members side by side, by the numbers of their shingles among all of the group's."""
+
+    def __init__(self, rows: list[bytes]):
+        sets = [np.frombuffer(x, dtype=U64) for x in rows]
+        self.n = np.array([len(x) for x in sets], dtype=np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        self.known, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(self.known), dtype=np.int32)
+
+    def own(self, i: int) -> np.ndarray:
+        return self.flat[self.first[i] : self.first[i] + self.n[i]]
+
+    def common(self, i: int) -> np.ndarray:
+        """Sizes of the intersections of member i with every member."""
+        self.mark[self.own(i)] = 1
+        out = np.add.reduceat(self.mark[self.flat], self.first)
+        self.mark[self.own(i)] = 0
+        return out
+
+    def linked(self, i: int, percent: int) -> np.ndarray:
+        both = self.common(i)
+        return 100 * both >= percent * (self.n + self.n[i] - both)
+
+    def nearest(self) -> tuple[int, int]:
+        """The member that differs least from the set of the shingles which most members have, and by how many more it agrees."""
+        most = 2 * np.bincount(self.flat, minlength=len(self.known)) > len(self.n)
+        score = np.add.reduceat(np.where(most, 1, -1)[self.flat], self.first)
+        best = int(score.argmax())
+        return best, int(score[best])
+
+
+def settle(rows: list[bytes], components: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between members, by place, that join all components which any link joins; members of one component are joined already."""
+    if len(rows) == 2:
+        x, y = (np.frombuffer(r, dtype=U64) for r in rows)
+        both = np.intersect1d(x, y, assume_unique=True).size
+        return [(0, 1)] if 100 * both >= percent * (len(x) + len(y) - both) else []
+    members, label, links = _Members(rows), np.unique(components, return_inverse=True)[1], []
+
+    def compare(i: int) -> None:
+        for j in np.flatnonzero(members.linked(i, percent) & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+
+    leader, _ = members.nearest()
+    compare(leader)
+    for i in range(len(rows)):
+        if label[i] != label[leader]:
+            compare(i)
+    return links
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows of sorted batches by runs of equal keys."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if key != now:
+                if rows:
+                    yield now, rows
+                now, rows = key, []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def _settled(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches, ["g"]):
+            found = settle([r["shingles"] for r in rows], [r["component"] for r in rows], percent)
+            if found:
+                ids = [r["class_id"] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found]), pa.array([ids[j] for _, j in found])], ["a", "b"])
 
-    return " + ".join(map(differ, PACKED))
+    return run
 
 
-def _near(percent: int) -> str:
-    return f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles) AND {_distance('x', 'y')} <= {radius_of(percent)}"
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part of a group: its member nearest to the majority of the part."""
+    for (g, _), rows in _grouped(batches, ["g", "salt"]):
+        best, score = _Members([r["shingles"] for r in rows]).nearest()
+        yield pa.RecordBatch.from_pydict({"g": [g], "leader": [rows[best]["class_id"]], "score": [score]})
 
 
-def _linked(k: int, percent: int):
-    """Keeps pairs of texts with 100 * |intersection| >= percent * |union| of their full shingle sets."""
+def _star(percent: int):
+    """Members compared with the leader's set, which comes first in each part of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, leader, own = None, -1, np.zeros(0, dtype=U64)
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
-                x, xs = shingles(*flat_text(part.column("ta")), k)
-                y, ys = shingles(*flat_text(part.column("tb")), k)
-                keep = []
-                for i in range(part.num_rows):
-                    a, b = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
-                    both = np.intersect1d(a, b, assume_unique=True).size
-                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                mine = np.frombuffer(row["shingles"], dtype=U64)
+                if row["leads"]:
+                    part, leader, own = (row["g"], row["salt"]), row["class_id"], mine
+                    continue
+                assert part == (row["g"], row["salt"])
+                place = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+                inside = own[place] == mine
+                n, c = len(mine), int(inside.sum())
+                link = 100 * c >= percent * (n + len(own) - c)
+                outside = mine[~inside]
+                some = outside[: len(outside) - max(1, -(-percent * n // 100) - c) + 1]
+                out.append((row["g"], leader, row["class_id"], n, c, link, some.view(np.int64).tolist()))
+            if out:
+                g, lead, ids, n, c, link, some = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x, type=pa.int64()) for x in (g, lead, ids, n, c)), pa.array(link, type=pa.bool_()), pa.array(some, type=pa.list_(pa.int64()))],
+                    ["g", "leader", "class_id", "n", "c", "link", "outside"],
+                )
 
     return run
 
 
-def _confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> tuple[DataFrame, bool]:
-    """Links among candidate pairs (a, b), on full sets."""
-    near = shared.written(near, f"{name}-near")
-    if near.isEmpty():
-        return near, False
-    need = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = shared.written(docs.join(need.hint("shuffle_hash"), "doc_id"), f"{name}-texts")
-    links = (
-        near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-        .select("a", "b", "ta", "tb")
-        .mapInArrow(_linked(k, percent), "a bigint, b bigint")
+STAR = "g bigint, leader bigint, class_id bigint, n bigint, c bigint, link boolean, outside array<bigint>"
+
+
+def _compared(big: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of large groups (g, class_id, component, total) against their group's leader."""
+    n = shared.parts(big.sparkSession)
+    parts = F.ceil(F.col("total") / BLOCK)
+    dealt = big.select("g", "class_id", parts.alias("parts"), F.pmod(F.xxhash64("class_id"), parts).alias("salt")).join(sets, "class_id")
+    dealt = shared.written(dealt, "near-dealt")
+    columns = ["g", "salt", "class_id", "shingles"]
+    best = dealt.select(*columns).repartition(n, "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_leaders, "g bigint, leader bigint, score bigint")
+    best = best.groupBy("g").agg(F.max_by("leader", F.struct("score", "leader")).alias("leader"))
+    lead = dealt.join(best, (dealt["g"] == best["g"]) & (dealt["class_id"] == best["leader"])).select(
+        dealt["g"], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "class_id", "shingles", F.lit(True).alias("leads")
     )
-    return shared.written(links, f"{name}-links"), True
+    rows = lead.unionByName(dealt.select(*columns, F.lit(False).alias("leads"))).repartition(n, "g", "salt")
+    return shared.written(rows.sortWithinPartitions("g", "salt", F.desc("leads")).mapInArrow(_star(percent), STAR), "near-star")
+
+
+def _left_over(star: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Groups (g, class_id, component) of the members of large groups that may still have a link to another component."""
+    at = _labelled(star.where("class_id != leader"), labels)
+    lead = _labelled(star.where("class_id = leader").select("g", "class_id"), labels).select("g", F.col("component").alias("of_leader"))
+    at = at.join(lead, "g").withColumn("apart", F.col("component") != F.col("of_leader"))
+    at = at.join(at.where("apart").select("g").distinct().hint("merge"), "g", "left_semi")
+    least, most = F.ceil(F.col("n") * percent / 100), F.floor((100 + percent) * F.col("c") / percent) - F.col("n")
+    x = at.where(F.col("apart") & (least <= most)).select("g", "class_id", "component", "n", "c", F.explode(F.sequence(least, most)).alias("size"))
+    x, y = x.alias("x"), at.alias("y")
+    pairs = x.join(
+        y, F.expr(f"x.g = y.g AND x.size = y.n AND x.component != y.component AND {100 + percent} * least(x.c, y.c) >= {percent} * (x.n + y.n)")
+    ).select(F.array(*(F.struct(F.col(f"{t}.class_id").alias("class_id"), F.col(f"{t}.component").alias("component")) for t in "xy")).alias("both"))
+    ids = F.array_sort(F.col("both.class_id"))
+    pairs = pairs.select(F.xxhash64(F.lit("pair"), ids[0], ids[1]).alias("g"), F.explode("both").alias("m")).select("g", "m.*").distinct()
+    shared_outside = at.select(F.explode("outside").alias("z"), "g", "class_id", "component").select(F.xxhash64("g", "z").alias("g"), "class_id", "component")
+    return pairs.unionByName(shared_outside)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("component", F.col("class_id"))
+    named = labels.select(F.col("id").alias("class_id"), F.col("component").alias("found"))
+    return rows.join(named.hint("merge"), "class_id", "left").withColumn("component", F.coalesce("found", "class_id")).drop("found")
+
+
+def _components(groups: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """id, component of every class with a link, by links between members of a group (g, class_id); None without links."""
+    n = shared.parts(docs.sparkSession)
+    need = groups.select(F.col("class_id").alias("doc_id")).distinct()
+    texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = shared.written(texts.mapInArrow(_set_rows(k), "class_id bigint, shingles binary"), "near-sets")
+    links, labels = None, None
+    groups = groups.withColumn("component", F.col("class_id"))
+    for level in range(1000):
+        groups = groups.join(sizes, "class_id") if level == 0 else shared.written(groups, "near-groups").join(sizes, "class_id")
+        live = groups.groupBy("g").agg(F.sum("n_shingles").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        live = shared.written(groups.join(live.hint("merge"), "g").select("g", "class_id", "component", "total"), "near-live")
+        small = live.where(F.col("total") <= BLOCK).select("g", "class_id", "component").join(sets, "class_id")
+        found = small.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_settled(percent), "a bigint, b bigint")
+        big = live.where(F.col("total") > BLOCK)
+        some = not big.isEmpty()
+        if some:
+            star = _compared(big, sets, percent)
+            found = found.unionByName(star.where("link AND class_id != leader").select(F.col("leader").alias("a"), F.col("class_id").alias("b")))
+        found = shared.written(found.distinct(), "near-links")
+        links = found if links is None else links.unionByName(found)
+        if not links.isEmpty():
+            labels = connected_components(links)
+        if not some:
+            return labels
+        groups = _left_over(star, labels, percent)
+    raise RuntimeError("groups of near copies were not settled")
 
 
 def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -201,38 +359,9 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -
     # The leader of a key is the class in the most crowded keys; the smaller id among equals.
     weight = keys.groupBy("class_id").agg(F.sum("n").alias("w"))
     weighed = shared.written(keys.join(weight, "class_id").select("key", "class_id", "w"), "near-weighed")
-    lead = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("class_id")).alias("i"))).alias("m")).select("key", (-F.col("m.i")).alias("leader"))
-    stars = (
-        weighed.join(lead.hint("merge"), "key")
-        .where("class_id != leader")
-        .select(F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b"))
-        .distinct()
-    )
-    sig = classes.select("class_id", "n_shingles", *PACKED)
-    near = _near(percent)
-    stars = (
-        stars.join(sig.withColumnRenamed("class_id", "a").alias("x"), "a")
-        .join(sig.withColumnRenamed("class_id", "b").alias("y"), "b")
-        .where(near)
-        .select("a", "b")
-    )
-    links, any_links = _confirmed(stars, docs, shingle_words, percent, "near-star")
-    labels = connected_components(links) if any_links else None
-    # Members of a key that still lie in different components.
-    at = weighed.select("key", "class_id")
-    if labels is not None:
-        at = at.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    else:
-        at = at.withColumn("component", F.lit(None).cast("long"))
-    at = at.select("key", "class_id", F.coalesce("component", "class_id").alias("component"))
-    split = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    at = shared.written(at.join(split.hint("merge"), "key").join(lead.hint("merge"), "key").join(sig, "class_id"), "near-split")
-    x, y = at.alias("x"), at.alias("y")
-    apart = "x.key = y.key AND x.class_id < y.class_id AND x.component != y.component AND x.class_id != x.leader AND y.class_id != y.leader"
-    cross = x.join(y, F.expr(f"{apart} AND {near}")).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
-    more, any_more = _confirmed(cross, docs, shingle_words, percent, "near-cross")
-    if any_more:
-        labels = connected_components(links.unionByName(more) if any_links else more)
+    lead = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("class_id")).alias("i"))).alias("m")).select("key", (-F.col("m.i")).alias("g"))
+    groups = shared.written(weighed.join(lead.hint("merge"), "key").select("g", "class_id").distinct(), "near-groups")
+    labels = _components(groups, classes.select("class_id", "n_shingles"), docs, shingle_words, percent)
     members = signed.select("doc_id", "n_shingles", "set_hash").join(classes.select("set_hash", "class_id").hint("merge"), "set_hash", "left")
     if labels is not None:
         members = members.join(labels.select(F.col("id").alias("class_id"), "component").hint("merge"), "class_id", "left")

@@ -255,6 +255,54 @@ def test_pipeline_stages(spark, tmp_path):
     assert [len(corpus_pipeline.STAGES)] == [5]
 
 
+def edited_families(r, families=4, members=60, words=90):
+    """Copies of a few texts with 0 to 12 words changed, so that links chain and fail around the threshold."""
+    texts = []
+    for _ in range(families):
+        base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+        for _ in range(members):
+            w = list(base)
+            for p in r.sample(range(words), r.choice((0, 1, 2, 3, 4, 5, 6, 8, 12))):
+                w[p] = f"v{r.randrange(10**6)}" if r.random() < 0.8 else "same"
+            if r.random() < 0.3:
+                del w[: r.randrange(14)]
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    return [*texts, *texts[:20], None, "", "one"]
+
+
+def brute_components(texts, k, percent):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    component = list(range(len(texts)))
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if x and sets[b] and component[a] != component[b] and 100 * len(x & sets[b]) >= percent * len(x | sets[b]):
+                old, new = max(component[a], component[b]), min(component[a], component[b])
+                component = [new if c == old else c for c in component]
+    return component
+
+
+@pytest.mark.parametrize("block, k, percent", [(1 << 18, 3, 85), (2000, 3, 85), (700, 5, 80)])
+def test_near_groups_of_any_size(spark, monkeypatch, block, k, percent):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    texts = edited_families(random.Random(block))
+    got = rows(near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle_words=k, percent=percent))
+    assert [got[i]["component_id"] for i in range(len(texts))] == brute_components(texts, k, percent)
+
+
+def test_near_settles_like_brute_force():
+    r = random.Random(4)
+    for seed in range(30):
+        texts = [t for t in edited_families(r, 2, 25, 40) if t]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), type=pa.int64()), pa.array(texts)], ["doc_id", "text"])
+        packed = [x for out in near_dedup._set_rows(3)(iter([batch])) for x in out.column("shingles").to_pylist()]
+        component = list(range(len(texts)))
+        for a, b in near_dedup.settle(packed, component, 85):
+            old, new = max(component[a], component[b]), min(component[a], component[b])
+            component = [new if c == old else c for c in component]
+        assert component == brute_components(texts, 3, 85), seed
+
+
 @pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
 def test_near_radius_follows_the_threshold(percent):
     assert near_dedup.missed(near_dedup.radius_of(percent), percent) <= near_dedup.MISS < near_dedup.missed(near_dedup.radius_of(percent) - 1, percent)
