@@ -16,9 +16,7 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     groups by vertex with partial minima first and joins edges to one row per vertex, which skew joins may split.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = shared.written(edges, "components")
-    before = None
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -26,12 +24,14 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         joined = large.join(least.hint("merge"), "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = shared.written(small, "components")
-        mark = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        shared.release(edges.sparkSession, edges)
+        if i:
+            shared.release(edges.sparkSession, edges)
         edges = after
-        if mark == before:
+        # Done once each id has one smaller neighbour, which has none itself.
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             break
-        before = mark
     else:
         raise RuntimeError(f"components were not found in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct()

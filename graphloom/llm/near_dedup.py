@@ -1,21 +1,20 @@
 """Near-duplicate documents by a multi-index Hamming join over b-bit MinHash signatures.
 
-A document is its set of distinct word shingles.  Documents with equal sets form a class first, so that copies never meet
-as pairs.  Each class gets a signature of SYMBOLS minima of b = 16 bits.  Two signatures that differ in at most `radius`
-symbols must, split into radius // 2 + 1 chunks, agree in one chunk but for at most 1 symbol (pigeonhole); so each chunk is
-indexed once for each symbol left out, and every pair within the radius shares an index key.
-
-Pairs within a key are never written out.  In each key the class that lies in the most crowded keys leads, and keys with
-one leader make one group.  A group of up to BLOCK shingles is settled in one task: its members are compared with the
-one nearest to the group's majority, then only those beyond that one's component with the others, on full sets.
-
-A larger group is dealt over many tasks and only compared with such a leader L.  With c = |x & L|, two members x and y in
-different components whose common shingles all lie in L have |x & y| <= min(c_x, c_y).  As a link needs |x & y| >=
-percent / 100 * max(|x|, |y|), either that bound allows a link, which sizes tell, and the pair goes on as a group of two;
-or x and y share at least percent / 100 * |x| - c_x shingles outside L, so that the first |x| - c_x - that + 1 of x's, in
-any fixed order, hold one of the first of y's; members with such a shingle in common go on as a group.  These groups are
-settled in the same way until none is left.  So every link between members of a key is found, none is false, and the
-radius follows the threshold, so that a link at the threshold itself is missed with a probability of MISS at most.
+A document is its set of distinct word shingles. Documents with equal sets form a class first, so that copies never meet
+as pairs. Each class gets a signature of SYMBOLS minima of b = 16 bits. Two signatures that differ in at most `radius`
+symbols must, split into radius // 2 + 1 chunks, agree in one chunk but for at most 1 symbol (pigeonhole); so each chunk
+is indexed once for each symbol left out, and every pair within the radius shares an index key.
+
+Pairs within a key are never written out. Keys with the same least class make one group. A group of up to BLOCK shingles
+is settled in one task: its members are compared with the one nearest to the group's majority, their leader L, on full
+sets. With c = |x & L|, two members x and y in different components whose common shingles all lie in L have |x & y| <=
+min(c_x, c_y). As a link needs |x & y| >= percent / 100 * max(|x|, |y|), either that bound allows a link, which sizes
+tell, or x and y share at least percent / 100 * |x| - c_x shingles outside L, so that the first |x| - c_x - that + 1 of
+x's, in any fixed order, hold one of the first of y's. Only such pairs are compared. A larger group is dealt over many
+tasks and compared with such a leader; pairs of the first kind go on as groups of two, and members with such a shingle
+in common as a group of theirs. These groups are settled in the same way until none is left. So every link between
+members of a key is found, none is false, and the radius follows the threshold, so that a link at the threshold itself
+is missed with a probability of MISS at most.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from .kernels import LOWER, U64, Words, blocks, flat_text, gram_hashes, mix, rag
 
 SYMBOLS, MISS = 32, 1e-4
 #: Shingles of a group that one task settles.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: A signature is packed four symbols to a column.
 PACKED = [f"s{i}" for i in range(SYMBOLS // 4)]
 _seeds = np.random.default_rng(85).integers(1, 2**63, SYMBOLS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -122,7 +121,7 @@ def _keys(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            symbols, ids = _symbols(batch).astype(U64), batch.column("class_id")
+            symbols = _symbols(batch).astype(U64)
             keys = []
             for c, chunk in enumerate(chunks):
                 for out in chunk:
@@ -132,7 +131,8 @@ def _keys(radius: int):
                             key = mix(key * U64(0x9E3779B97F4A7C15) + symbols[:, j])
                     keys.append(key)
             flat = np.stack(keys, axis=1).reshape(-1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), ids.take(pa.array(np.repeat(np.arange(len(symbols)), len(keys))))], ["key", "class_id"])
+            owner = pa.array(np.repeat(np.arange(len(symbols)), len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("class_id").take(owner), batch.column("n_shingles").take(owner)], ["key", "class_id", "n_shingles"])
 
     return run
 
@@ -161,17 +161,17 @@ class _Members:
     def own(self, i: int) -> np.ndarray:
         return self.flat[self.first[i] : self.first[i] + self.n[i]]
 
-    def common(self, i: int) -> np.ndarray:
-        """Sizes of the intersections of member i with every member."""
+    def common(self, i: int, others: np.ndarray | None = None) -> np.ndarray:
+        """Sizes of the intersections of member i with others, or with every member."""
         self.mark[self.own(i)] = 1
-        out = np.add.reduceat(self.mark[self.flat], self.first)
+        if others is None:
+            out = np.add.reduceat(self.mark[self.flat], self.first)
+        else:
+            n = self.n[others]
+            out = np.add.reduceat(self.mark[self.flat[ragged(self.first[others], n)]], np.cumsum(n) - n)
         self.mark[self.own(i)] = 0
         return out
 
-    def linked(self, i: int, percent: int) -> np.ndarray:
-        both = self.common(i)
-        return 100 * both >= percent * (self.n + self.n[i] - both)
-
     def nearest(self) -> tuple[int, int]:
         """The member that differs least from the set of the shingles which most members have, and by how many more it agrees."""
         most = 2 * np.bincount(self.flat, minlength=len(self.known)) > len(self.n)
@@ -179,26 +179,55 @@ class _Members:
         best = int(score.argmax())
         return best, int(score[best])
 
+    def outside(self, leader: int, c: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Member and number of the shingles outside the leader's set by which a member may meet another, in order of members."""
+        self.mark[self.own(leader)] = 1
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        out = np.flatnonzero(self.mark[self.flat] == 0)
+        self.mark[self.own(leader)] = 0
+        owner, number = owner[out], self.flat[out]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(self.n)))[owner]
+        some = self.n - c - np.maximum(1, -(-percent * self.n // 100) - c) + 1
+        keep = rank < some[owner]
+        return owner[keep], number[keep]
+
 
 def settle(rows: list[bytes], components: list[int], percent: int) -> list[tuple[int, int]]:
     """Links between members, by place, that join all components which any link joins; members of one component are joined already."""
+    if len(rows) == 1:
+        return []
     if len(rows) == 2:
         x, y = (np.frombuffer(r, dtype=U64) for r in rows)
         both = np.intersect1d(x, y, assume_unique=True).size
         return [(0, 1)] if 100 * both >= percent * (len(x) + len(y) - both) else []
     members, label, links = _Members(rows), np.unique(components, return_inverse=True)[1], []
+    n = members.n
 
-    def compare(i: int) -> None:
-        for j in np.flatnonzero(members.linked(i, percent) & (label != label[i])).tolist():
+    def join(i: int, others: np.ndarray, both: np.ndarray) -> None:
+        for j in others[100 * both >= percent * (n[others] + n[i] - both)].tolist():
             if label[j] != label[i]:
                 links.append((i, j))
                 label[label == label[j]] = label[i]
 
     leader, _ = members.nearest()
-    compare(leader)
-    for i in range(len(rows)):
-        if label[i] != label[leader]:
-            compare(i)
+    c = members.common(leader)
+    join(leader, np.arange(len(rows)), c)
+    if (label == label[leader]).all():
+        return links
+    owner, number = members.outside(leader, c, percent)
+    first = np.searchsorted(owner, np.arange(len(rows) + 1))
+    order = np.argsort(number, kind="stable")
+    listed, begin = owner[order], np.searchsorted(number[order], np.arange(len(members.known) + 1))
+    most = (100 + percent) * c // percent - n
+    for i in np.flatnonzero(label != label[leader]).tolist():
+        if label[i] == label[leader]:
+            continue
+        mine = number[first[i] : first[i + 1]]
+        near = (n <= most[i]) & (n[i] <= most)  # their common shingles may all be the leader's
+        near[listed[ragged(begin[mine], begin[mine + 1] - begin[mine])]] = True
+        others = np.flatnonzero(near & (label != label[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n))
+        if len(others):
+            join(i, others, members.common(i, others))
     return links
 
 
@@ -217,13 +246,28 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
         yield now, rows
 
 
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components with all links to their least members."""
+    up = {x: x for link in links for x in link}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [(root(x), x) for x in up if root(x) != x]
+
+
 def _settled(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, ["g"]):
             found = settle([r["shingles"] for r in rows], [r["component"] for r in rows], percent)
             if found:
-                ids = [r["class_id"] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found]), pa.array([ids[j] for _, j in found])], ["a", "b"])
+                stars = _stars([(rows[i]["class_id"], rows[j]["class_id"]) for i, j in found])
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in stars]), pa.array([b for _, b in stars])], ["a", "b"])
 
     return run
 
@@ -285,7 +329,7 @@ def _compared(big: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _left_over(star: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Groups (g, class_id, component) of the members of large groups that may still have a link to another component."""
+    """Groups (g, class_id, n_shingles, component) of the members of large groups that may still have a link to another component."""
     at = _labelled(star.where("class_id != leader"), labels)
     lead = _labelled(star.where("class_id = leader").select("g", "class_id"), labels).select("g", F.col("component").alias("of_leader"))
     at = at.join(lead, "g").withColumn("apart", F.col("component") != F.col("of_leader"))
@@ -295,11 +339,11 @@ def _left_over(star: DataFrame, labels: DataFrame | None, percent: int) -> DataF
     x, y = x.alias("x"), at.alias("y")
     pairs = x.join(
         y, F.expr(f"x.g = y.g AND x.size = y.n AND x.component != y.component AND {100 + percent} * least(x.c, y.c) >= {percent} * (x.n + y.n)")
-    ).select(F.array(*(F.struct(F.col(f"{t}.class_id").alias("class_id"), F.col(f"{t}.component").alias("component")) for t in "xy")).alias("both"))
+    ).select(F.array(*(F.struct(*(F.col(f"{t}.{c}").alias(c) for c in ("class_id", "n", "component"))) for t in "xy")).alias("both"))
     ids = F.array_sort(F.col("both.class_id"))
     pairs = pairs.select(F.xxhash64(F.lit("pair"), ids[0], ids[1]).alias("g"), F.explode("both").alias("m")).select("g", "m.*").distinct()
-    shared_outside = at.select(F.explode("outside").alias("z"), "g", "class_id", "component").select(F.xxhash64("g", "z").alias("g"), "class_id", "component")
-    return pairs.unionByName(shared_outside)
+    shared_outside = at.select(F.explode("outside").alias("z"), "g", "class_id", "n", "component").select(F.xxhash64("g", "z").alias("g"), "class_id", "n", "component")
+    return pairs.unionByName(shared_outside).withColumnRenamed("n", "n_shingles")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -309,8 +353,8 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(named.hint("merge"), "class_id", "left").withColumn("component", F.coalesce("found", "class_id")).drop("found")
 
 
-def _components(groups: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """id, component of every class with a link, by links between members of a group (g, class_id); None without links."""
+def _components(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """id, component of every class with a link, by links between members of a group (g, class_id, n_shingles); None without links."""
     n = shared.parts(docs.sparkSession)
     need = groups.select(F.col("class_id").alias("doc_id")).distinct()
     texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -318,23 +362,22 @@ def _components(groups: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, pe
     links, labels = None, None
     groups = groups.withColumn("component", F.col("class_id"))
     for level in range(1000):
-        groups = groups.join(sizes, "class_id") if level == 0 else shared.written(groups, "near-groups").join(sizes, "class_id")
-        live = groups.groupBy("g").agg(F.sum("n_shingles").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        live = shared.written(groups.join(live.hint("merge"), "g").select("g", "class_id", "component", "total"), "near-live")
-        small = live.where(F.col("total") <= BLOCK).select("g", "class_id", "component").join(sets, "class_id")
-        found = small.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_settled(percent), "a bigint, b bigint")
-        big = live.where(F.col("total") > BLOCK)
-        some = not big.isEmpty()
+        large = groups.groupBy("g").agg(F.sum("n_shingles").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        large = shared.written(large.where(F.col("total") > BLOCK).where("lo < hi").select("g", "total"), "near-large")
+        some = not large.isEmpty()
+        small = groups.join(large.hint("merge"), "g", "left_anti") if some else groups
+        found = small.join(sets, "class_id").select("g", "class_id", "component", "shingles")
+        found = found.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_settled(percent), "a bigint, b bigint")
         if some:
-            star = _compared(big, sets, percent)
+            star = _compared(groups.join(large.hint("merge"), "g"), sets, percent)
             found = found.unionByName(star.where("link AND class_id != leader").select(F.col("leader").alias("a"), F.col("class_id").alias("b")))
-        found = shared.written(found.distinct(), "near-links")
+        found = shared.written(found, "near-links")
         links = found if links is None else links.unionByName(found)
         if not links.isEmpty():
             labels = connected_components(links)
         if not some:
             return labels
-        groups = _left_over(star, labels, percent)
+        groups = shared.written(_left_over(star, labels, percent), "near-groups")
     raise RuntimeError("groups of near copies were not settled")
 
 
@@ -353,15 +396,11 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -
         some.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(c).alias(c) for c in PACKED]),
         "near-classes",
     )
-    keys = classes.select("class_id", *PACKED).mapInArrow(_keys(radius_of(percent)), "key bigint, class_id bigint")
-    crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys = shared.written(keys.join(crowds.hint("merge"), "key"), "near-keys")
-    # The leader of a key is the class in the most crowded keys; the smaller id among equals.
-    weight = keys.groupBy("class_id").agg(F.sum("n").alias("w"))
-    weighed = shared.written(keys.join(weight, "class_id").select("key", "class_id", "w"), "near-weighed")
-    lead = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("class_id")).alias("i"))).alias("m")).select("key", (-F.col("m.i")).alias("g"))
-    groups = shared.written(weighed.join(lead.hint("merge"), "key").select("g", "class_id").distinct(), "near-groups")
-    labels = _components(groups, classes.select("class_id", "n_shingles"), docs, shingle_words, percent)
+    keys = classes.select("class_id", "n_shingles", *PACKED).mapInArrow(_keys(radius_of(percent)), "key bigint, class_id bigint, n_shingles bigint")
+    # A group is named by the least class of its keys, so that classes which meet in many keys meet in few groups.
+    crowds = keys.groupBy("key").agg(F.min("class_id").alias("g"), F.max("class_id").alias("last")).where("g < last").select("key", "g")
+    groups = shared.written(keys.join(crowds.hint("merge"), "key").select("g", "class_id", "n_shingles").distinct(), "near-groups")
+    labels = _components(groups, docs, shingle_words, percent)
     members = signed.select("doc_id", "n_shingles", "set_hash").join(classes.select("set_hash", "class_id").hint("merge"), "set_hash", "left")
     if labels is not None:
         members = members.join(labels.select(F.col("id").alias("class_id"), "component").hint("merge"), "class_id", "left")
