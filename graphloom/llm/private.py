@@ -4,11 +4,18 @@ Numbers and dates that pass their checks (Luhn for cards, ranges for addresses a
 networks within their own format: a card stays a valid card of its network, an address an address, a date a date, and so
 on.  A permutation has no collisions and always maps a value to the same pseudonym under one key, so equal values stay
 linked across documents while different ones stay apart.  Text between them is left alone.
+
+All happens within a row, so that nothing is shuffled and rows that repeat a doc_id stay apart.  A value that a formula
+needs several times is bound to a lambda's variable (`bound`), as Spark would else evaluate it anew at each place.  The
+round function is HMAC-SHA-256; its two key pads come from a one-row table, so that no plan shows the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -16,7 +23,7 @@ from . import shared
 ROUNDS = 8
 #: Patterns of what may be private, in order of precedence; the kind of a match is the first whose whole pattern fits it.
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?:AKIA[A-Z0-9]{16}|[0-9a-f]{40}|(?<=password=)[0-9a-f]{8,64})",
     "date": r"[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])",
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
@@ -24,17 +31,45 @@ KINDS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
-PATTERN = "(?:" + "|".join(f"(?<![A-Za-z0-9]){p}(?![A-Za-z0-9])" for p in KINDS.values()) + ")"
+PATTERN = "(?<![A-Za-z0-9])(?=[A-Za-z0-9+])(?:" + "|".join(KINDS.values()) + ")(?![A-Za-z0-9])"
+MARK = "password="
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-#: 400 years have 146097 days = 27 * 5411, so a date is a pair of residues.
-FIRST_DAY, N_DAYS, DAYS_HIGH = "1800-01-01", 146_097, 27
+#: The calendar repeats every 400 years, which have 146097 days = 27 * 5411, so a day of them is a pair of residues.
+CYCLE, DAYS_HIGH, DAYS_LOW = 400, 27, 5411
+
+
+@dataclass(frozen=True)
+class Key:
+    """Columns with the inner and the outer pad of a key."""
+
+    inner: Column
+    outer: Column
+
+    def digest(self, *parts: Column) -> Column:
+        """HMAC-SHA-256 of the parts, in hex."""
+        message = F.concat_ws("|", *(p.cast("string") for p in parts)).cast("binary")
+        return F.sha2(F.concat(self.outer, F.unhex(F.sha2(F.concat(self.inner, message), 256))), 256)
 
 
-def _digest(key: str, r: Column, other: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), r.cast("string"), other.cast("string")), 256)
+def with_key(docs: DataFrame, key: str) -> tuple[DataFrame, Key]:
+    """docs with the pads of a key as binary columns _inner and _outer, read from a one-row table."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pads = [tuple(bytearray(x ^ pad for x in raw) for pad in (0x36, 0x5C))]
+    table = _one_row(docs.sparkSession, pads)
+    return docs.select("*", table.select("inner").scalar().alias("_inner"), table.select("outer").scalar().alias("_outer")), Key(F.col("_inner"), F.col("_outer"))
 
 
-def _number(digest: Column, modulus: int) -> Column:
+def _one_row(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "inner binary, outer binary")
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _number(digest: Column, modulus: Column) -> Column:
     """A number below the modulus from 60 bits of a digest."""
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % modulus
 
@@ -43,7 +78,7 @@ def _loop(start: Column, step) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def feistel_pair(high: Column, low: Column, n_high: int, n_low: int, key: str) -> Column:
+def feistel_pair(high: Column, low: Column, n_high: Column, n_low: Column, key: Key, tweak: str) -> Column:
     """struct(a, b): a keyed permutation of pairs below (n_high, n_low)."""
     start = F.struct(high.cast("long").alias("a"), low.cast("long").alias("b"))
 
@@ -51,55 +86,80 @@ def feistel_pair(high: Column, low: Column, n_high: int, n_low: int, key: str) -
         a, b = pair["a"], pair["b"]
         odd = r % 2 == 1
         return F.struct(
-            F.when(odd, (a + _number(_digest(key, r, b), n_high)) % n_high).otherwise(a).alias("a"),
-            F.when(odd, b).otherwise((b + _number(_digest(key, r, a), n_low)) % n_low).alias("b"),
+            F.when(odd, (a + _number(key.digest(F.lit(tweak), n_high, n_low, r, b), n_high)) % n_high).otherwise(a).alias("a"),
+            F.when(odd, b).otherwise((b + _number(key.digest(F.lit(tweak), n_high, n_low, r, a), n_low)) % n_low).alias("b"),
         )
 
     return _loop(start, step)
 
 
+def feistel_digits(digits: Column, key: Key, tweak: str) -> Column:
+    """A keyed permutation of the strings of as many digits, up to 36."""
+
+    def moved(s: Column) -> Column:
+        half = F.floor(F.length(s) / 2).cast("int")
+        rest = F.length(s) - half
+        as_long = lambda x: F.concat(F.lit("0"), x).cast("long")
+        size = lambda n: F.rpad(F.lit("1"), n + 1, "0").cast("long")
+        return bound(
+            F.struct(as_long(F.substring(s, F.lit(1), half)).alias("a"), as_long(F.substring(s, half + 1, rest)).alias("b"), size(half).alias("m"), size(rest).alias("n")),
+            lambda x: bound(
+                feistel_pair(x["a"], x["b"], x["m"], x["n"], key, tweak),
+                lambda y: F.concat(F.lpad(y["a"].cast("string"), half, "0"), F.lpad(y["b"].cast("string"), rest, "0")),
+            ),
+        )
+
+    return bound(digits, moved)
+
+
 def _moved(text: Column, digest: Column, alphabets: tuple[str, ...]) -> Column:
     """Each character of text moved within the first alphabet that has it, by a byte of the digest."""
 
-    def one(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        by = F.conv(F.substring(digest, (i % 31) * 2 + F.lit(1), F.lit(2)), 16, 10).cast("int")
+    def one(c: Column, i: Column, d: Column) -> Column:
+        by = F.conv(F.substring(d, (i % 31) * 2 + F.lit(1), F.lit(2)), 16, 10).cast("int")
         out = c
         for alphabet in reversed(alphabets):
             at = F.instr(F.lit(alphabet), c)
             out = F.when(at > 0, F.substring(F.lit(alphabet), (at - 1 + by) % len(alphabet) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
+    return bound(digest, lambda d: F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c == "", c).otherwise(one(c, i, d))), ""))
 
 
-def feistel_text(text: Column, key: str, alphabets: tuple[str, ...]) -> Column:
+def feistel_text(text: Column, key: Key, alphabets: tuple[str, ...], tweak: str) -> Column:
     """A keyed permutation of the strings that have a character of the same alphabet at each place."""
-    half = (F.length(text) / 2).cast("int")
-    start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
 
-    def step(pair: Column, r: Column) -> Column:
-        a, b = pair["a"], pair["b"]
-        odd = r % 2 == 1
-        return F.struct(
-            F.when(odd, _moved(a, _digest(key, r, b), alphabets)).otherwise(a).alias("a"),
-            F.when(odd, b).otherwise(_moved(b, _digest(key, r, a), alphabets)).alias("b"),
-        )
+    def moved(s: Column) -> Column:
+        half = F.floor(F.length(s) / 2).cast("int")
+        start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"))
+
+        def step(pair: Column, r: Column) -> Column:
+            a, b = pair["a"], pair["b"]
+            odd = r % 2 == 1
+            return F.struct(
+                F.when(odd, _moved(a, key.digest(F.lit(tweak), r, F.length(a), b), alphabets)).otherwise(a).alias("a"),
+                F.when(odd, b).otherwise(_moved(b, key.digest(F.lit(tweak), r, F.length(b), a), alphabets)).alias("b"),
+            )
+
+        return bound(_loop(start, step), lambda y: F.concat(y["a"], y["b"]))
 
-    done = _loop(start, step)
-    return F.concat(done["a"], done["b"])
+    return bound(text, moved)
 
 
 def _luhn_sum(digits: Column) -> Column:
     """Luhn's sum of a string of digits that a check digit would follow."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when((n - i) % 2 == 0, twice).otherwise(d)
+    def of(s: Column) -> Column:
+        n = F.length(s)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+        def add(total: Column, i: Column) -> Column:
+            d = F.substring(s, i, F.lit(1)).cast("int")
+            twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+            return total + F.when((n - i) % 2 == 0, twice).otherwise(d)
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+
+    return bound(digits, of)
 
 
 def _check_digit(digits: Column) -> Column:
@@ -108,55 +168,70 @@ def _check_digit(digits: Column) -> Column:
 
 def _refill(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced, in order, by those given."""
-    whole = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
 
-    def put(acc: Column, i: Column) -> Column:
-        c = F.substring(shape, i, F.lit(1))
-        digit = F.instr(F.lit(DIGITS), c) > 0
-        return F.struct(
-            F.concat(acc["s"], F.when(digit, F.substring(digits, acc["k"], F.lit(1))).otherwise(c)).alias("s"), (acc["k"] + digit.cast("int")).alias("k")
-        )
+    def put(s: Column, d: Column) -> Column:
+        def one(acc: Column, c: Column) -> Column:
+            digit = F.instr(F.lit(DIGITS), c) > 0
+            return F.struct(F.concat(acc["s"], F.when(digit, F.substring(d, acc["k"], F.lit(1))).otherwise(c)).alias("s"), (acc["k"] + digit.cast("int")).alias("k"))
+
+        return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), one)["s"]
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(shape)), whole, put)["s"]
+    return bound(F.struct(shape.alias("s"), digits.alias("d")), lambda x: put(x["s"], x["d"]))
 
 
 def _only_digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def card(value: Column, key: str) -> Column:
+def card(value: Column, key: Key) -> Column:
     """A card's pseudonym: first digit kept, check digit valid, blanks and dashes in place."""
-    digits = _only_digits(value)
-    body = F.concat(F.substring(digits, 1, 1), feistel_text(F.substring(digits, F.lit(2), F.length(digits) - 2), key, (DIGITS,)))
-    return _refill(value, F.concat(body, _check_digit(body)))
+
+    def of(digits: Column) -> Column:
+        body = F.concat(F.substring(digits, 1, 1), feistel_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card"))
+        return bound(body, lambda b: _refill(value, F.concat(b, _check_digit(b))))
+
+    return bound(_only_digits(value), of)
 
 
 def is_card(value: Column) -> Column:
-    digits = _only_digits(value)
-    return _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
+    return bound(_only_digits(value), lambda d: _check_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, -1, 1))
+
+
+def date(value: Column, key: Key) -> Column:
+    """A date's pseudonym within its 400 years; every date from 0000 to 9999 has one."""
+
+    def of(d: Column) -> Column:
+        begin = F.make_date(F.floor(F.year(d) / CYCLE).cast("int") * CYCLE, F.lit(1), F.lit(1))
+        return bound(
+            F.struct(begin.alias("begin"), F.datediff(d, begin).alias("day")),
+            lambda x: bound(
+                feistel_pair(F.floor(x["day"] / DAYS_LOW), x["day"] % DAYS_LOW, F.lit(DAYS_HIGH).cast("long"), F.lit(DAYS_LOW).cast("long"), key, "date"),
+                lambda y: F.date_add(x["begin"], (y["a"] * DAYS_LOW + y["b"]).cast("int")).cast("string"),
+            ),
+        )
+
+    return bound(F.try_to_date(value, "yyyy-MM-dd"), of)
 
 
-def date(value: Column, key: str) -> Column:
-    day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    low = N_DAYS // DAYS_HIGH
-    pair = feistel_pair(F.floor(day / low), day % low, DAYS_HIGH, low, key)
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (pair["a"] * low + pair["b"]).cast("int")).cast("string")
-    return F.when((day >= 0) & (day < N_DAYS), moved).otherwise(value)
+def address(value: Column, key: Key) -> Column:
+    size = F.lit(65_536).cast("long")
 
+    def of(octet: Column) -> Column:
+        return bound(
+            feistel_pair(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], size, size, key, "ip"),
+            lambda y: F.concat_ws(".", *(p.cast("string") for p in (F.floor(y["a"] / 256), y["a"] % 256, F.floor(y["b"] / 256), y["b"] % 256))),
+        )
 
-def address(value: Column, key: str) -> Column:
-    octet = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
-    pair = feistel_pair(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], 65_536, 65_536, key)
-    parts = [F.floor(pair["a"] / 256), pair["a"] % 256, F.floor(pair["b"] / 256), pair["b"] % 256]
-    return F.concat_ws(".", *[p.cast("string") for p in parts])
+    return bound(F.transform(F.split(value, r"\."), lambda x: x.cast("long")), of)
 
 
-def kind_of(value: Column) -> Column:
+def kind_of(value: Column, before: Column) -> Column:
+    """The kind of a match with the text before it; null if it fails its check."""
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(list(KINDS.items())):
-        # A match alone has lost what its look-behind saw; it is told by a letter, which numbers don't have.
-        whole = pattern.replace("(?<=password=)", "(?=[0-9]*[a-f])")
-        fits = F.regexp_like(value, F.lit(f"^(?:{whole})$"))
+        fits = F.regexp_like(value, F.lit(f"^(?:{pattern})$"))
+        if kind == "secret":
+            fits = fits | (F.endswith(before, F.lit(MARK)) & F.regexp_like(value, F.lit("^[0-9a-f]{8,64}$")))
         if kind == "card":
             fits = fits & is_card(value)
         if kind == "date":
@@ -165,18 +240,18 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def pseudonym(kind: Column, value: Column, key: str) -> Column:
+def pseudonym(kind: Column, value: Column, key: Key) -> Column:
     """What stands for a value; a value of no kind stays."""
     at = F.instr(value, "@")
-    email = F.concat(feistel_text(F.substring(value, F.lit(1), at - 1), key, (DIGITS, LOWER, UPPER)), F.substring(value, at, F.length(value)))
+    email = F.concat(feistel_text(F.substring(value, F.lit(1), at - 1), key, (DIGITS, LOWER, UPPER), "email"), F.substring(value, at, F.length(value)))
     hexed = F.regexp_like(value, F.lit("^[0-9a-f]+$"))
-    secret = F.when(hexed, feistel_text(value, key, (HEX,))).otherwise(
-        F.concat(F.substring(value, 1, 4), feistel_text(F.substring(value, F.lit(5), F.length(value)), key, (DIGITS, UPPER)))
+    secret = F.when(hexed, feistel_text(value, key, (HEX,), "secret")).otherwise(
+        F.concat(F.substring(value, 1, 4), feistel_text(F.substring(value, F.lit(5), F.length(value)), key, (DIGITS, UPPER), "secret"))
     )
     code = F.length(F.regexp_extract(value, r"^(\+[0-9]{1,3})", 1))
     number = F.substring(value, code + 1, F.length(value))
-    phone = F.concat(F.substring(value, F.lit(1), code), _refill(number, feistel_text(_only_digits(number), key, (DIGITS,))))
-    ssn = _refill(value, feistel_text(_only_digits(value), key, (DIGITS,)))
+    phone = F.concat(F.substring(value, F.lit(1), code), bound(number, lambda s: _refill(s, feistel_digits(_only_digits(s), key, "phone"))))
+    ssn = _refill(value, feistel_digits(_only_digits(value), key, "ssn"))
     choices = {"email": email, "secret": secret, "date": date(value, key), "ip": address(value, key), "phone": phone, "ssn": ssn, "card": card(value, key)}
     out = value
     for k, v in choices.items():
@@ -184,37 +259,35 @@ def pseudonym(kind: Column, value: Column, key: str) -> Column:
     return out
 
 
+def _split(docs: DataFrame) -> DataFrame:
+    """docs with `values`, the matches of each text in order, and `parts`, the text before, between and behind them."""
+    found = docs.withColumn("values", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    return found.withColumn("parts", F.when(F.size("values") > 0, F.split("text", PATTERN, -1)).otherwise(F.array("text")))
+
+
+def _kinds() -> Column:
+    """Matches as structs of kind and value."""
+    before = F.slice("parts", F.lit(1), F.size("values"))
+    return F.zip_with("values", before, lambda v, p: F.struct(kind_of(v, p).alias("kind"), v.alias("value")))
+
+
 def private_values(docs: DataFrame) -> DataFrame:
     """doc_id, place (from 0), kind, value: the matches of each row of docs in order; kind is null where a check failed."""
-    docs = shared.documents(docs)
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("place", "value"))
-    return rows.select("doc_id", "place", kind_of(F.col("value")).alias("kind"), "value")
+    rows = _split(shared.documents(docs)).select("doc_id", _kinds().alias("found"))
+    return rows.select("doc_id", F.posexplode("found").alias("place", "m")).select("doc_id", "place", "m.kind", "m.value")
 
 
 def pseudonymised(docs: DataFrame, *, key: str) -> DataFrame:
     """doc_id, n_found, kinds (distinct, sorted, comma-joined), text for each row of docs, private values replaced.
 
-    Null text counts as empty and comes back empty.  A number or date that fails its check is no private value and stays.
-    doc_id names a document and occurs once.  Other columns are ignored; an empty table gives no rows.
+    Null text counts as empty and comes back empty; texts may be of any length.  A number or date that fails its check is
+    no private value and stays.  Each row is treated by itself: rows that repeat a doc_id, with the same text or another,
+    give a row each.  Other columns are ignored; an empty table gives no rows.
     """
-    docs = shared.documents(docs)
-    found = private_values(docs)
-    distinct = found.where("kind IS NOT NULL").select("kind", "value").distinct()
-    named = distinct.withColumn("new", pseudonym(F.col("kind"), F.col("value"), key))
-    new = (
-        found.join(named, ["kind", "value"], "left")
-        .groupBy("doc_id")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("place", F.coalesce("new", "value").alias("new")))).alias("new"),
-            F.count("kind").alias("n_found"),
-            F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
-        )
-    )
-    parts = F.split("text", PATTERN, -1)
-    glued = F.array_join(F.flatten(F.zip_with(parts, F.col("new.new"), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    return docs.join(new.hint("shuffle_hash"), "doc_id", "left").select(
-        "doc_id",
-        F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"),
-        F.coalesce("kinds", F.lit("")).alias("kinds"),
-        F.when(F.coalesce("n_found", F.lit(0)) > 0, glued).otherwise(F.col("text")).alias("text"),
-    )
+    rows, pads = with_key(_split(shared.documents(docs)), key)
+    rows = rows.withColumn("found", _kinds())
+    rows = rows.withColumn("new", F.transform("found", lambda m: F.struct(m["kind"].alias("kind"), pseudonym(m["kind"], m["value"], pads).alias("text"))))
+    known = F.filter(F.col("new.kind"), lambda k: k.isNotNull())
+    between = F.slice("parts", F.lit(2), F.size("parts"))
+    glued = F.concat(F.get("parts", F.lit(0)), F.array_join(F.zip_with(F.col("new.text"), between, lambda m, p: F.concat(m, p)), ""))
+    return rows.select("doc_id", F.size(known).cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(known)), ",").alias("kinds"), glued.alias("text"))
