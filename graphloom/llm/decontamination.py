@@ -1,13 +1,18 @@
-"""Benchmark decontamination: a lossless filter by kept runs of words, exact edit verification.
-
-Texts are sequences of folded words.  An item of n words has m = n - q + 1 runs of q words (its grams).  Each edit of a
-word touches q of them at most, so any run of a document's words within e edits of the item keeps m - q e of the grams, at
-n + e - q places from first to last at most.  Places of a document with so many of an item's grams so near together are
-candidates; the text around them, as far as such a run reaches, is verified by the exact edit distance between the item
-and its best-fitting run of words.  None within the tolerance is lost, whatever the item's length.  Pairs of words (q = 2)
-serve where the bound stays positive, single words otherwise.
-
-Of any q e + 1 grams of an item at least one is kept, so only documents with one of the item's rarest q e + 1 are looked at.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+
+Texts are sequences of folded words.  A window of a document, as long as a benchmark item, is embedded by the random walk
+of Chakraborty, Goldenberg and Koucky: at each of 3 n steps the symbol under the pointer is put out, and a random bit of
+(step, symbol) says whether the pointer moves, so that sequences at a small edit distance agree in many places.  Each of
+TABLES hash tables of a walk samples SAMPLED of its places; an item whose key a window has in any table is verified by the
+exact edit distance between it and the best-fitting run of words around its windows.  Longer items have more edits within
+the tolerance, and one early edit can lead a walk astray for long, so the number of independent walks grows with an item's
+length (`n_walks`); README has the recall that was measured at the tolerance, to which RECALL is the target.
+
+Which windows are embedded is told by a lossless count.  An item of n words has m = n - q + 1 runs of q words (its grams).
+Each edit touches q of them at most, so any run of words within e edits of the item keeps m - q e of the grams, at n + e -
+q places from first to last at most; other windows cannot hold the item.  Pairs of words (q = 2) serve where that bound is
+positive, single words otherwise.  Of any q e + 1 grams of an item at least one is kept, so only documents with one of the
+item's rarest q e + 1 are looked at.
 """
 
 from __future__ import annotations
@@ -21,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .kernels import U64, blocks, flat_text, gram_hashes, ragged
+from .kernels import U64, blocks, flat_text, gram_hashes, mix, ragged
 from .statistics import folded_words
 
+#: Share of the runs at the tolerance that a walk's tables should bring to verification; tables of a walk, places of each.
+RECALL, TABLES, SAMPLED = 0.99, 32, 2
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in several passes.
 BROADCAST = 16 << 20
 #: Meetings of a block's grams with items that are held at once, but for a single document.
@@ -48,6 +55,33 @@ def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end - int(_last_row(item[::-1], text[:end][::-1], True).argmin())
 
 
+def n_walks(n: int) -> int:
+    """Independent walks for items of n words."""
+    return 3 + n // 25
+
+
+def walks(symbols: np.ndarray, starts: np.ndarray, n: int, seeds: np.ndarray) -> np.ndarray:
+    """CGK walks (seed, window, step) of windows of n symbols, or as many as there are; behind its end a walk puts out zeros."""
+    out = np.zeros((len(seeds), len(starts), 3 * n), dtype=U64)
+    at = np.zeros((len(seeds), len(starts)), dtype=np.int64)
+    most = np.minimum(n, len(symbols) - starts)
+    salt = mix(seeds.astype(U64) + U64(1))[:, None]
+    for step in range(3 * n):
+        s = np.where(at < most, symbols[np.minimum(starts + at, len(symbols) - 1)], U64(0))
+        out[:, :, step] = s
+        at += (mix(s + salt + U64(step * 0x9E3779B97F4A7C15 % 2**64)) & U64(1)).astype(np.int64)
+    return out
+
+
+def table_keys(found: np.ndarray, n: int, seeds: np.ndarray) -> np.ndarray:
+    """A key for each walk, window and table."""
+    keys = np.zeros((*found.shape[:2], TABLES), dtype=U64) + np.arange(TABLES, dtype=U64)
+    for k, seed in enumerate(seeds.tolist()):
+        for places in np.random.default_rng((n, seed)).integers(0, 2 * n, (SAMPLED, TABLES)):
+            keys[k] = mix(keys[k] * U64(0x9E3779B97F4A7C15) + found[k][:, places])
+    return keys
+
+
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Whether each value is one of the sorted known ones."""
     if not len(known):
@@ -91,6 +125,7 @@ class Index:
         self.allowed = np.array([int(len(x) * tolerance) for x in self.symbols], dtype=np.int64)
         size = np.where(self.n - 1 - 2 * self.allowed > 0, 2, 1)
         self.need = self.n - size + 1 - size * self.allowed
+        self.keys: dict[tuple[int, int], np.ndarray] = {}
         self.grams: dict[int, tuple[Postings, Postings]] = {}
         for q in sorted(set(size.tolist())):
             members = np.flatnonzero(size == q).tolist()
@@ -100,8 +135,23 @@ class Index:
             rare = [np.unique(np.array(sorted(g.tolist(), key=lambda x: (often[x], x))[: q * self.allowed[i] + 1], dtype=U64)) for i, g in zip(members, every)]
             self.grams[q] = Postings(own, members), Postings(rare, members)
 
+    def meets(self, i: int, text: np.ndarray) -> bool:
+        """Whether a window of text, as long as item i, has the item's key in a table of one of the walks."""
+        n = int(self.n[i])
+        starts = np.arange(max(1, len(text) - max(1, n - int(self.allowed[i])) + 1))
+        low, high = 0, 1
+        while low < n_walks(n):  # most that meet do so in one of the first walks
+            seeds = np.arange(low, min(high, n_walks(n)))
+            if (i, low) not in self.keys:
+                self.keys[i, low] = table_keys(walks(self.symbols[i], np.zeros(1, dtype=np.int64), n, seeds), n, seeds)
+            for some in np.array_split(starts, -(-len(starts) * 3 * n * len(seeds) // MEETINGS)):
+                if (table_keys(walks(text, some, n, seeds), n, seeds) == self.keys[i, low]).any():
+                    return True
+            low, high = high, 2 * high + 1
+        return False
+
     def candidates(self, symbols: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Document, item, first and past-the-last word of texts that hold every run within the tolerance."""
+        """Document, item, first and past-the-last word of the texts whose windows are embedded; they hold every run within the tolerance."""
         for q, (every, rare) in self.grams.items():
             grams = gram_hashes(symbols, q)
             doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(grams)]
@@ -164,6 +214,8 @@ def _leaks(items: list[tuple[int, str]], tolerance: float):
             words, _ = folded_words(*flat_text(block.column("text")))
             ids, found = block.column("doc_id").to_pylist(), {}
             for d, i, low, high in index.candidates(words.hash, words.bounds):
+                if not index.meets(i, words.hash[low:high]):
+                    continue
                 k, start = best_run(index.symbols[i], words.hash[low:high])
                 if k <= index.allowed[i]:
                     found[d, i] = min(found.get((d, i), (k, low + start)), (k, low + start))
@@ -178,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, tolerance: float = 0.2) -> D
     """doc_id, item_id, start_word, n_words (of the item), distance: items found in documents.
 
     An item is in a document if some run of its folded words (lower case, letters and digits) is within tolerance *
-    n_words word edits of the item's.  Null or empty items and texts have no words and never meet.  A row of docs gives
+    n_words word edits of the item's; every row is such an item, and of those at the tolerance RECALL are found.  Null or empty items and texts have no words and never meet.  A row of docs gives
     one row for each item found, with the least distance and the first word of a run that has it.  Other columns are
     ignored.
     """
