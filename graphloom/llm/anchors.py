@@ -78,7 +78,8 @@ class Units:
 
 
 def _deal(keys: np.ndarray, n_parts: int) -> np.ndarray:
-    return ((keys >> U64(40)) * U64(n_parts) >> U64(24)).astype(np.int64)
+    """A part for each key.  Anchors are minima, which crowd near zero, so they are mixed first."""
+    return ((mix(keys) >> U64(40)) * U64(n_parts) >> U64(24)).astype(np.int64)
 
 
 def _anchor_rows(kind: str, window: int, gram: int, n_parts: int, across: bool):
@@ -91,7 +92,7 @@ def _anchor_rows(kind: str, window: int, gram: int, n_parts: int, across: bool):
             ids = block.column("doc_id").to_numpy()
             doc = ids[np.searchsorted(units.bounds, places, side="right") - 1]
             keys = grams[places]
-            order = np.lexsort((doc, keys))
+            order = np.lexsort((doc, keys, _deal(keys, n_parts)))
             keys, doc = keys[order], doc[order]
             first = np.ones(len(keys), dtype=bool)
             first[1:] = keys[1:] != keys[:-1]
@@ -211,3 +212,18 @@ def candidate_windows(units: Units, window: int, gram: int, found: pa.Array) ->
         if a < b:
             keep[a:b] = np.isin(least[a:b], gathered(found, i, 1)[0].view(U64))
     return starts[keep], doc[keep]
+
+
+def contexts(units: Units, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Candidate windows by the place of their anchor: its hash and place, the first window's start, the number of windows."""
+    all_starts, _, least, places, grams = units.anchors(window, gram)
+    least = least[np.searchsorted(all_starts, starts)]
+    k = np.searchsorted(places, starts)
+    wrong = grams[places[k]] != least
+    while wrong.any():
+        k[wrong] += 1
+        wrong = grams[places[k]] != least
+    place = places[k]
+    new = np.concatenate(([True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1))) if len(starts) else np.zeros(0, dtype=bool)
+    cut = np.flatnonzero(new)
+    return least[cut], place[cut], starts[cut], np.diff(np.append(cut, len(starts)))

@@ -2,15 +2,18 @@
 
 Only windows of `window` bytes whose anchor occurs in two documents can repeat (see `anchors`).  The windows of one anchor
 in one place make a context of fewer than twice `window` bytes.  Contexts are dealt by anchor.  Equal contexts, compared
-byte by byte, form a class that knows its smallest document; in any other document all of its windows are repeats.  Where
-an anchor has several classes, parts of their contexts may agree: those classes' contexts go into one text per task, whose
-suffix array (grouping under Lyndon prefixes, see `suffix_array`) brings equal windows together; each takes the smallest
-document among them.  In that text a single symbol stands for the anchor, whose bytes all of them share.
+byte by byte, travel as one that knows its smallest document; in any other document all of its windows are repeats.  Of an
+anchor's different contexts, the windows whose 64-bit hash occurs in another are cut out (others cannot repeat), and equal
+strings of them are taken once.  These strings go into one text per task, whose suffix array (grouping under Lyndon
+prefixes, see `suffix_array`) brings equal windows together; each takes the smallest document among them.  In that text a
+single symbol stands for the anchor, whose bytes all of them share.  Only the arrays make windows equal; a collision of
+hashes costs work, never a wrong result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +23,12 @@ from pyspark.sql import DataFrame
 
 from . import anchors, shared
 from .anchors import Units, by_bucket, gathered, pack, unpack
-from .kernels import U64, blocks, cover, flat_text, ragged, spans
+from .kernels import U64, blocks, byte_symbols, cover, flat_text, gram_hashes, mix, ragged, spans
 from .suffix_array import shared_prefixes, suffix_array
 
 GRAM = 24
-#: Symbols in one suffix array; a single anchor's contexts beyond four times that are compared window by window.
-TEXT = 250_000
+#: Symbols in one suffix array, about; parts that a larger anchor's windows are dealt to, for each such number.
+TEXT, DEAL = 250_000, 4
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
 
 
@@ -75,21 +78,6 @@ def _looked_up(window: int, keep_bytes: bool):
     return run
 
 
-def contexts(units: Units, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Candidate windows by the place of their anchor: its hash and place, the first window's start, the number of windows."""
-    all_starts, _, least, places, grams = units.anchors(window, GRAM)
-    least = least[np.searchsorted(all_starts, starts)]
-    k = np.searchsorted(places, starts)
-    wrong = grams[places[k]] != least
-    while wrong.any():
-        k[wrong] += 1
-        wrong = grams[places[k]] != least
-    place = places[k]
-    new = np.concatenate(([True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1))) if len(starts) else np.zeros(0, dtype=bool)
-    cut = np.flatnonzero(new)
-    return least[cut], place[cut], starts[cut], np.diff(np.append(cut, len(starts)))
-
-
 def _context_rows(window: int, n_parts: int):
     """Contexts dealt by anchor; a context that a block has in several documents goes on for the smallest only."""
 
@@ -99,10 +87,10 @@ def _context_rows(window: int, n_parts: int):
             ids = block.column("doc_id").to_numpy()
             at = [unpack(x) for x in block.column("windows").to_pylist()]
             starts = np.concatenate([ragged(s + b, n) for (s, n), b in zip(at, units.bounds)])
-            key, place, start, count = contexts(units, starts, window)
+            key, place, start, count = anchors.contexts(units, starts, window, GRAM)
             doc = ids[np.searchsorted(units.bounds, start, side="right") - 1]
             local = start - units.bounds[np.searchsorted(units.bounds, start, side="right") - 1]
-            order = np.lexsort((doc, key))
+            order = np.lexsort((doc, key, anchors._deal(key, n_parts)))
             key, place, start, count, doc, local = (c[order] for c in (key, place, start, count, doc, local))
             raw = units.data.tobytes()
             least: dict[tuple[int, bytes], int] = {}
@@ -135,50 +123,99 @@ def _context_rows(window: int, n_parts: int):
     return run
 
 
-def _smallest_documents(key, left, count, doc, content: list[bytes], window: int) -> np.ndarray:
-    """For classes of anchors with several classes, sorted by key: the smallest document of each of their windows, in a row."""
-    depth = window - GRAM + 1
-    out = np.repeat(doc, count)
-    first_out = np.cumsum(count) - count
-    groups = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sizes = np.array([len(c) - GRAM + 2 for c in content])
-    total = np.concatenate(([0], np.cumsum(sizes)))
-    ends = np.append(groups[1:], len(key))
-    low = 0
-    while low < len(groups):
-        high = low + 1
-        while high < len(groups) and total[ends[high]] - total[groups[low]] <= TEXT:
-            high += 1
-        a, b = groups[low], ends[high - 1]
-        low = high
-        if total[b] - total[a] > 4 * TEXT:
-            rows = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(c, dtype=np.uint8), window) for c in content[a:b]]
-            flat = np.ascontiguousarray(np.concatenate(rows)).view(np.dtype((np.void, window))).ravel()
-            _, which = np.unique(flat, return_inverse=True)
-            order = np.argsort(which, kind="stable")
-            where, group = ragged(first_out[a:b], count[a:b])[order], which[order]
-        else:
-            symbols = np.full(total[b] - total[a], -1, dtype=np.int64)
-            at, anchor = 0, 255
-            begin = np.empty(b - a, dtype=np.int64)
-            for i in range(a, b):
-                anchor += i == a or key[i] != key[i - 1]
-                c = np.frombuffer(content[i], dtype=np.uint8)
-                begin[i - a] = at
-                n = left[i]
-                symbols[at : at + n] = c[:n]
-                symbols[at + n] = anchor
-                symbols[at + n + 1 : at + len(c) - GRAM + 1] = c[n + GRAM :]
-                at += len(c) - GRAM + 2
-            target = np.full(len(symbols), -1, dtype=np.int64)
-            target[ragged(begin, count[a:b])] = ragged(first_out[a:b], count[a:b])
-            order = suffix_array(symbols)
-            order = order[target[order] >= 0]
-            where, group = target[order], shared_prefixes(symbols, order, depth)
+def _runs_of(hit: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of runs of true flags of one owner."""
+    on = np.flatnonzero(hit)
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(on) != 1) | (owner[on[1:]] != owner[on[:-1]])))) if len(on) else on
+    return on[cut], np.diff(np.append(cut, len(on)))
+
+
+class _Windows:
+    """Windows of different contexts of some anchors, in a row: context, number in it, hash, smallest document so far."""
+
+    def __init__(self, key, left, count, doc, content: list[bytes], window: int):
+        self.key, self.left, self.content, self.window = key, left, content, window
+        self.first = np.cumsum(count) - count
+        self.owner = np.repeat(np.arange(len(key)), count)
+        self.at = np.arange(len(self.owner)) - self.first[self.owner]
+        self.least = doc[self.owner]
+        flat = np.frombuffer(b"".join(content), dtype=np.uint8)
+        size = count + window - 1
+        self.hash = gram_hashes(byte_symbols(flat), window)[ragged(np.cumsum(size) - size, count)]
+
+    def strings(self, part: np.ndarray) -> tuple[dict, list]:
+        """Runs of windows with one part number >= 0 as different strings (key, part, anchor's place, bytes), and the runs of each."""
+        known: dict[tuple, int] = {}
+        places: list[list[tuple[int, int]]] = []
+        first, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if len(part):
+            change = np.concatenate(([True], (part[1:] != part[:-1]) | (self.owner[1:] != self.owner[:-1])))
+            first, n = _runs_of(part >= 0, np.cumsum(change))
+        own = self.owner[first]
+        for f, k, o, a, q, key, left in zip(
+            first.tolist(), n.tolist(), own.tolist(), self.at[first].tolist(), part[first].tolist(), self.key[own].tolist(), self.left[own].tolist()
+        ):
+            i = known.setdefault((key, q, left - a, self.content[o][a : a + k + self.window - 1]), len(places))
+            if i == len(places):
+                places.append([])
+            places[i].append((f, k))
+        return known, places
+
+    def settle(self) -> np.ndarray:
+        """The smallest document of each window, by suffix arrays over the windows whose hash occurs again."""
+        _, group, size = np.unique(self.hash, return_inverse=True, return_counts=True)
+        part = np.where(size[group] > 1, 0, -1)
+        known, places = self.strings(part)
+        total = Counter()
+        for key, _, _, text in known:
+            total[key] += len(text) - GRAM + 2
+        large = {k: -(-n // TEXT) for k, n in total.items() if n > TEXT}
+        if large:
+            # Equal windows have equal hashes, so those of a large anchor are dealt by theirs, and each part has its own array.
+            for k, n_parts in large.items():
+                mine = (self.key[self.owner] == k) & (part >= 0)
+                part[mine] = (mix(self.hash[mine]) % U64(n_parts * DEAL)).astype(np.int64)
+            known, places = self.strings(part)
+        order = sorted(range(len(places)), key=list(known).__getitem__) if len(large) else range(len(places))
+        strings = list(known)
+        batch, symbols, before = [], 0, None
+        for i in order:
+            if symbols > TEXT and strings[i][:2] != before:
+                self._array([strings[j] for j in batch], [places[j] for j in batch])
+                batch, symbols = [], 0
+            batch.append(i)
+            symbols += len(strings[i][3]) - GRAM + 2
+            before = strings[i][:2]
+        if batch:
+            self._array([strings[j] for j in batch], [places[j] for j in batch])
+        return self.least
+
+    def _array(self, strings: list[tuple], places: list[list[tuple[int, int]]]) -> None:
+        """Brings equal windows of the strings together by their suffix array; one symbol stands for an anchor and its part."""
+        depth = self.window - GRAM + 1
+        size = np.array([len(t) - GRAM + 2 for *_, t in strings])
+        begin = np.cumsum(size) - size
+        symbols = np.full(int(size.sum()), -1, dtype=np.int64)
+        anchor: dict[tuple[int, int], int] = {}
+        count = np.array([len(t) - self.window + 1 for *_, t in strings])
+        first = np.cumsum(count) - count
+        best = np.empty(int(count.sum()), dtype=np.int64)
+        for (key, q, n, text), at, f, c, runs in zip(strings, begin.tolist(), first.tolist(), count.tolist(), places):
+            raw = np.frombuffer(text, dtype=np.uint8)
+            symbols[at : at + n] = raw[:n]
+            symbols[at + n] = 256 + anchor.setdefault((key, q), len(anchor))
+            symbols[at + n + 1 : at + len(raw) - GRAM + 1] = raw[n + GRAM :]
+            best[f : f + c] = np.min([self.least[a : a + c] for a, _ in runs], axis=0)
+        target = np.full(len(symbols), -1, dtype=np.int64)
+        target[ragged(begin, count)] = np.arange(len(best))
+        order = suffix_array(symbols)
+        order = order[target[order] >= 0]
+        where, group = target[order], shared_prefixes(symbols, order, depth)
         cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        least = np.minimum.reduceat(out[where], cut)
-        out[where] = np.repeat(least, np.diff(np.append(cut, len(where))))
-    return out
+        best[where] = np.repeat(np.minimum.reduceat(best[where], cut), np.diff(np.append(cut, len(where))))
+        for f, c, runs in zip(first.tolist(), count.tolist(), places):
+            for a, _ in runs:
+                self.least[a : a + c] = best[f : f + c]
 
 
 def _repeats(window: int, n_buckets: int):
@@ -216,7 +253,7 @@ def _repeats(window: int, n_buckets: int):
         several = by_key[same | np.append(same[1:], False)]
         if len(several):
             r = row[several]
-            best = _smallest_documents(key[r], left[r], count[r], least[several], [content[i] for i in several.tolist()], window)
+            best = _Windows(key[r], left[r], count[r], least[several], [content[i] for i in several.tolist()], window).settle()
             first = np.full(len(content), -1, dtype=np.int64)
             first[several] = np.cumsum(count[r]) - count[r]
             mine = np.flatnonzero(~full & (first[members] >= 0))
