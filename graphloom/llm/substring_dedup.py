@@ -1,10 +1,14 @@
-"""Repeated word sequences by a join of window hashes.
+"""Repeated word sequences by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself, cut into blocks by the hash of a window of words; each block is an index from window
-to the places where it starts.  Only windows whose anchor occurs twice (see `anchors`) can be in a block twice, so only
-those are indexed and looked up, each in the one block that could hold it.  Windows match if their 64-bit hashes do; words
-are not compared.  The words under matching windows are the duplicate spans.  Matches at consecutive places of a document
-whose sources are consecutive too are then put together as its factors, which only describe the spans.
+The reference is the corpus itself.  Only windows whose anchor occurs twice (see `anchors`) can repeat; those around one
+anchor make a context of fewer than twice `window` words.  Contexts are dealt by anchor; all that meet in one task are a
+reference block, whose words are numbered (equal numbers are equal words, no hashes) and indexed: from each anchor
+outwards, to the left and to the right, a rank tells contexts with the same words so far apart from others.  A context is
+then parsed against its block: from the first start that no factor covers, a place elsewhere with the same `window` words
+is looked up by the two ranks, and the match is extended greedily, word by word, to its end.  Where a factor ends, the
+next start is looked up anew, so windows across a boundary of factors are checked as well.  A context that another place
+repeats as a whole is one factor; blocks of documents settle such copies among themselves and send one on.  The words
+under factors, all at least `window` long, are the duplicate spans.
 """
 
 from __future__ import annotations
@@ -14,29 +18,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from . import anchors, shared
 from .anchors import Units, by_bucket, gathered, pack, unpack
-from .kernels import U64, blocks, cover, flat_text, gram_hashes, ragged
+from .kernels import U64, blocks, flat_text, ragged
 
 GRAM = 12
 OUT = "doc_id bigint, n_words bigint, n_removed bigint, factors array<struct<start:bigint,n_words:bigint,source_doc:bigint,source_start:bigint>>, kept_text string, kept_sha256 string"
 _FACTOR = pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())])
 
 
-def parse(starts: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray, window: int) -> list[dict]:
-    """Factors of one document: runs of its matching starts, in order, whose sources run on too, and a source of each."""
-    if not len(starts):
-        return []
-    goes_on = np.zeros(len(starts), dtype=bool)
-    goes_on[1:] = (starts[1:] == starts[:-1] + 1) & (source_doc[1:] == source_doc[:-1]) & (source_start[1:] == source_start[:-1] + 1)
-    first = np.flatnonzero(~goes_on)
-    last = np.append(first[1:], len(starts)) - 1
-    return [
-        {"start": int(starts[a]), "n_words": int(starts[b] - starts[a] + window), "source_doc": int(source_doc[a]), "source_start": int(source_start[a])}
-        for a, b in zip(first, last)
-    ]
+def merged(start: np.ndarray, n: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray) -> list[dict]:
+    """Factors of one document in order; those that meet and whose sources run on alike are one."""
+    out: list[dict] = []
+    for a, k, d, b in sorted(zip(start.tolist(), n.tolist(), source_doc.tolist(), source_start.tolist())):
+        last = out[-1] if out else None
+        if last and a <= last["start"] + last["n_words"] and d == last["source_doc"] and b - a == last["source_start"] - last["start"]:
+            last["n_words"] = max(last["n_words"], a + k - last["start"])
+        else:
+            out.append({"start": a, "n_words": k, "source_doc": d, "source_start": b})
+    return out
 
 
 def _kept(units: Units, removed: np.ndarray, keep_text: bool) -> tuple[list, list]:
@@ -55,8 +58,7 @@ def _kept(units: Units, removed: np.ndarray, keep_text: bool) -> tuple[list, lis
     return [str(p, "utf-8") for p in parts] if keep_text else [None] * len(parts), [hashlib.sha256(p).hexdigest() for p in parts]
 
 
-def _finished(ids, units: Units, starts: np.ndarray, factors: list, window: int, keep_text: bool) -> pa.RecordBatch:
-    removed = cover(starts, window, len(units.symbols))
+def _finished(ids, units: Units, removed: np.ndarray, factors: list, keep_text: bool) -> pa.RecordBatch:
     gone = np.concatenate(([0], np.cumsum(removed)))
     text, digest = _kept(units, removed, keep_text)
     return pa.RecordBatch.from_arrays(
@@ -82,10 +84,12 @@ def _looked_up(window: int, keep_text: bool):
             starts, doc = anchors.candidate_windows(units, window, GRAM, block.column("found"))
             has = np.zeros(block.num_rows, dtype=bool)
             has[doc] = True
-            done = _finished(block.column("doc_id"), units, np.zeros(0, dtype=np.int64), [[]] * block.num_rows, window, keep_text)
+            done = _finished(block.column("doc_id"), units, np.zeros(len(units.symbols), dtype=bool), [[]] * block.num_rows, keep_text)
             windows = [None] * block.num_rows
             for d, a, b in anchors._runs(doc):
-                windows[d] = pack(starts[a:b] - units.bounds[d])
+                at = starts[a:b]
+                cut = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
+                windows[d] = pack(at[cut] - units.bounds[d], np.diff(np.append(cut, len(at))))
             late = pa.array(np.arange(len(has)), mask=~has)
             yield pa.RecordBatch.from_arrays(
                 [*done.columns, text.take(late), pa.array(windows, type=pa.binary())],
@@ -95,90 +99,189 @@ def _looked_up(window: int, keep_text: bool):
     return run
 
 
-def _window_rows(window: int, n_parts: int):
-    """Index entries (hash, document, start), dealt by hash; what a block of documents settles itself goes along."""
+def _joined(units: Units) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The block's words with one blank behind each; first and past-the-last byte of each word there."""
+    words = units.words
+    length = words.stop - words.start
+    text = units.data[np.minimum(ragged(words.start, length + 1), len(units.data) - 1)] if len(length) else np.zeros(0, dtype=np.uint8)
+    ends = np.cumsum(length + 1)
+    text[ends - 1] = 32
+    return text.tobytes(), ends - length - 1, ends - 1
+
+
+def _context_rows(window: int, n_parts: int):
+    """Contexts dealt by anchor; of those that a block has several times, one goes on and the others are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, anchors.BLOCK):
             units = Units("words", *flat_text(block.column("text")))
             ids = block.column("doc_id").to_numpy()
-            at = [unpack(x)[0] for x in block.column("windows").to_pylist()]
-            doc = np.repeat(np.arange(len(at)), [len(x) for x in at])
-            start = np.concatenate(at)
-            keys = gram_hashes(units.symbols, window)[start + units.bounds[doc]]
-            order = np.lexsort((start, ids[doc], keys))
-            keys, doc, start = keys[order], ids[doc[order]], start[order]
-            first = np.ones(len(keys), dtype=bool)
-            first[1:] = keys[1:] != keys[:-1]
-            group = np.cumsum(first) - 1
-            size = np.bincount(group)
-            lead = np.flatnonzero(first)
-            several = size[group] > 1
-            source = np.where(first, np.minimum(lead[group] + 1, len(keys) - 1), lead[group])
-            part, data, settled = [], [], []
-            flag = np.where(size > 1, 1, 0)
-            k, d, s = keys[lead], doc[lead], start[lead]
-            for p, a, b in anchors._runs(anchors._deal(k, n_parts)):
-                part.append(p)
-                data.append(pack(k[a:b], d[a:b], s[a:b], flag[a:b]))
+            at = [unpack(x) for x in block.column("windows").to_pylist()]
+            starts = np.concatenate([ragged(s + b, n) for (s, n), b in zip(at, units.bounds)])
+            key, place, start, count = anchors.contexts(units, starts, window, GRAM)
+            which = np.searchsorted(units.bounds, start, side="right") - 1
+            doc, local = ids[which], start - units.bounds[which]
+            order = np.lexsort((start, doc, key, anchors._deal(key, n_parts)))
+            key, place, start, count, doc, local = (c[order] for c in (key, place, start, count, doc, local))
+            raw, first, stop = _joined(units)
+            seen: dict[tuple[int, bytes], int] = {}
+            source = np.full(len(key), -1, dtype=np.int64)
+            send, text = [], []
+            for i, (left, a, b) in enumerate(zip((place - start).tolist(), first[start].tolist(), stop[start + count + window - 2].tolist())):
+                context = raw[a:b]
+                j = seen.setdefault((left, context), i)
+                if j == i:
+                    send.append(i)
+                    text.append(context)
+                else:
+                    source[i] = j
+                    if source[j] < 0:
+                        source[j] = i
+            go = np.array(send, dtype=np.int64)
+            part, data, content, settled = [], [], [], []
+            for q, a, b in anchors._runs(anchors._deal(key[go], n_parts)):
+                some = go[a:b]
+                part.append(q)
+                data.append(pack(key[some], doc[some], local[some], count[some], (place - start)[some], source[some] >= 0))
+                content.append(zstandard.ZstdCompressor(level=1).compress(b"\n".join(text[a:b])))
                 settled.append(False)
-            if several.any():
-                own = np.flatnonzero(several)
-                part.append(int(keys[0] >> U64(17)) % n_parts)
-                data.append(pack(doc[own], start[own], doc[source[own]], start[source[own]]))
+            own = np.flatnonzero(source >= 0)
+            if len(own):
+                part.append(int(key[0] >> U64(17)) % n_parts)
+                data.append(pack(doc[own], local[own], count[own] + window - 1, doc[source[own]], local[source[own]]))
+                content.append(None)
                 settled.append(True)
-            yield pa.RecordBatch.from_arrays([pa.array(part, type=pa.int32()), pa.array(data, type=pa.binary()), pa.array(settled)], ["part", "data", "settled"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, type=pa.int32()), pa.array(data, type=pa.binary()), pa.array(content, type=pa.binary()), pa.array(settled)],
+                ["part", "data", "content", "settled"],
+            )
+
+    return run
+
+
+class ReferenceBlock:
+    """Different contexts around some anchors, side by side as numbered words, with ranks from the anchor outwards."""
+
+    def __init__(self, left: np.ndarray, count: np.ndarray, content: list[bytes], window: int):
+        self.left, self.count, self.window = left, count, window
+        number: dict[bytes, int] = {}
+        words = [c.split(b" ") for c in content]
+        self.n = np.array([len(w) for w in words], dtype=np.int64)
+        self.begin = np.cumsum(self.n) - self.n
+        self.words = np.fromiter((number.setdefault(w, len(number)) for c in words for w in c), dtype=np.int64, count=int(self.n.sum()))
+        depth = window - GRAM
+        rank = np.zeros(len(content), dtype=np.int64)
+        for k in range(GRAM):
+            rank = self._refined(rank, left + k)
+        self.right_rank, self.left_rank = [rank], [rank]
+        for k in range(depth):
+            self.right_rank.append(self._refined(self.right_rank[-1], left + GRAM + k))
+            self.left_rank.append(self._refined(self.left_rank[-1], left - 1 - k))
+
+    def _refined(self, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Ranks by one more word; -1 where the context has no such word."""
+        there = (rank >= 0) & (place >= 0) & (place < self.n)
+        out = np.full(len(rank), -1, dtype=np.int64)
+        out[there] = np.unique((rank[there] << 32) | self.words[self.begin[there] + place[there]], return_inverse=True)[1]
+        return out
+
+    def factors(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Context, start, length, source context, source start of the factors of all contexts but those settled as a whole."""
+        covered = np.where(whole, self.count, 0)
+        found = [[np.zeros(0, dtype=np.int64)] * 5]
+        for before in range(self.window - GRAM, -1, -1):
+            start = self.left - before
+            there = np.flatnonzero((start >= 0) & (start < self.count))
+            if not len(there):
+                continue
+            rank = (self.left_rank[before][there] << 32) | self.right_rank[self.window - GRAM - before][there]
+            _, lead, group, size = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
+            hit = np.flatnonzero((size[group] > 1) & (start[there] >= covered[there]))
+            if not len(hit):
+                continue
+            # Another place with the same words: the group's first, or for that one the group's last.
+            last = np.zeros(len(lead), dtype=np.int64)
+            last[group] = np.arange(len(there))
+            source = np.where(lead[group[hit]] == hit, last[group[hit]], lead[group[hit]])
+            x, y = there[hit], there[source]
+            length = self.window + self._runs_on(x, start[x] + self.window, y, start[y] + self.window)
+            covered[x] = start[x] + length - self.window + 1
+            found.append([x, start[x], length, y, start[y]])
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _runs_on(self, x: np.ndarray, at: np.ndarray, y: np.ndarray, source_at: np.ndarray) -> np.ndarray:
+        """Equal words of contexts x and y from the given places on."""
+        steps = np.arange(self.window)
+        a, b = at[:, None] + steps, source_at[:, None] + steps
+        inside = (a < self.n[x][:, None]) & (b < self.n[y][:, None])
+        top = len(self.words) - 1
+        same = inside & (self.words[np.minimum(self.begin[x][:, None] + a, top)] == self.words[np.minimum(self.begin[y][:, None] + b, top)])
+        return np.cumprod(same, axis=1).sum(axis=1)
+
+
+def _factored(window: int, n_buckets: int):
+    """Parses all contexts of a reference block against it: document, start, length, source document and start of factors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, members, classes, content = [], [], {}, []
+        for batch in batches:
+            for data, text, settled in zip(batch.column("data").to_pylist(), batch.column("content").to_pylist(), batch.column("settled").to_pylist()):
+                some = unpack(data)
+                if settled:
+                    yield by_bucket(n_buckets, *some)
+                    continue
+                for c, left in zip(zstandard.ZstdDecompressor().decompress(text).split(b"\n"), some[4].tolist()):
+                    k = classes.setdefault((left, c), len(content))
+                    if k == len(content):
+                        content.append(c)
+                    members.append(k)
+                rows.append(some)
+        if not rows:
+            return
+        del classes
+        key, doc, start, count, left, settled = np.concatenate(rows, axis=1)
+        members = np.array(members)
+        size = np.bincount(members)
+        head, tail = np.zeros(len(content), dtype=np.int64), np.zeros(len(content), dtype=np.int64)
+        head[members[::-1]] = np.arange(len(members))[::-1]
+        tail[members] = np.arange(len(members))
+        copies = np.flatnonzero((size[members] > 1) & (settled == 0))
+        source = np.where(head[members[copies]] == copies, tail[members[copies]], head[members[copies]])
+        if len(copies):
+            yield by_bucket(n_buckets, doc[copies], start[copies], count[copies] + window - 1, doc[source], start[source])
+        whole = size > 1
+        whole[members[settled == 1]] = True
+        by_key = np.argsort(key[head], kind="stable")
+        keys = key[head][by_key]
+        same = np.concatenate(([False], keys[1:] == keys[:-1]))
+        several = by_key[same | np.append(same[1:], False)]
+        if len(several):
+            at = head[several]
+            block = ReferenceBlock(left[at], count[at], [content[i] for i in several.tolist()], window)
+            x, s, n, y, t = block.factors(whole[several])
+            if len(x):
+                yield by_bucket(n_buckets, doc[at[x]], start[at[x]] + s, n, doc[at[y]], start[at[y]] + t)
 
     return run
 
 
-def _matched(n_buckets: int):
-    return lambda batches: _matched_rows(batches, n_buckets)
-
-
-def _matched_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Looks all entries of a reference block up in it: starts that match elsewhere, and the first such place."""
-    found = []
-    for batch in batches:
-        for data, settled in zip(batch.column("data").to_pylist(), batch.column("settled").to_pylist()):
-            rows = unpack(data)
-            if settled:
-                yield by_bucket(n_buckets, *rows)
-            else:
-                found.append(rows)
-    if not found:
-        return
-    keys, doc, start, flag = np.concatenate(found, axis=1)
-    order = np.lexsort((start, doc, keys.view(U64)))
-    keys, doc, start, flag = keys[order], doc[order], start[order], flag[order]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = keys[1:] != keys[:-1]
-    group = np.cumsum(first) - 1
-    lead = np.flatnonzero(first)[group]
-    source = np.where(first, np.minimum(lead + 1, len(keys) - 1), lead)
-    hit = (np.bincount(group)[group] > 1) & (flag == 0)
-    if hit.any():
-        yield by_bucket(n_buckets, doc[hit], start[hit], doc[source[hit]], start[source[hit]])
-
-
-def _parsed(window: int, keep_text: bool):
+def _parsed(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, anchors.BLOCK):
             units = Units("words", *flat_text(block.column("text")))
-            column, starts, factors = block.column("found"), [], []
+            steps, factors = np.zeros(len(units.symbols) + 1, dtype=np.int64), []
             for i in range(block.num_rows):
-                at, source_doc, source_start = gathered(column, i, 3)
-                order = np.argsort(at, kind="stable")
-                at = at[order]
-                factors.append(parse(at, source_doc[order], source_start[order], window))
-                starts.append(at + units.bounds[i])
-            yield _finished(block.column("doc_id"), units, np.concatenate(starts), factors, window, keep_text)
+                at, n, source_doc, source_start = gathered(block.column("found"), i, 4)
+                factors.append(merged(at, n, source_doc, source_start) if keep_text else [])
+                np.add.at(steps, at + units.bounds[i], 1)
+                np.add.at(steps, at + n + units.bounds[i], -1)
+            yield _finished(block.column("doc_id"), units, np.cumsum(steps)[:-1] > 0, factors, keep_text)
 
     return run
 
 
 def substring_dedup(docs: DataFrame, *, window: int = 50, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, factors, kept_text (null unless keep_text), kept_sha256 for each row of docs.
+    """doc_id, n_words, n_removed, factors (empty unless keep_text), kept_text (null unless keep_text), kept_sha256 for each row of docs.
 
     A word is removed if a run of `window` words that covers it also starts anywhere else, the same document included.
     Null text counts as empty; a document with fewer words keeps them all; copies of a document lose all words, in every
@@ -192,10 +295,10 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, keep_text: bool = True
     )
     names = ["doc_id", "n_words", "n_removed", "factors", "kept_text", "kept_sha256"]
     late = first.where("windows IS NOT NULL").select("doc_id", "text", "windows")
-    matches = (
-        late.mapInArrow(_window_rows(window, 2 * n), "part int, data binary, settled boolean")
+    factors = (
+        late.mapInArrow(_context_rows(window, 2 * n), "part int, data binary, content binary, settled boolean")
         .repartition(n, "part")
-        .mapInArrow(_matched(n), anchors.PACKED)
+        .mapInArrow(_factored(window, n), anchors.PACKED)
     )
-    parsed = anchors.with_rows(late.select("doc_id", "text"), matches).mapInArrow(_parsed(window, keep_text), OUT)
+    parsed = anchors.with_rows(late.select("doc_id", "text"), factors).mapInArrow(_parsed(keep_text), OUT)
     return first.where("windows IS NULL").select(*names).unionByName(parsed)
