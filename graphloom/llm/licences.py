@@ -76,14 +76,11 @@ def spans(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "t", "label", "base")
         .agg(F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.count(F.lit(1)).alias("n_places"), F.lit(1.0).alias("coverage"))
     )
-    along = Window.partitionBy("doc_id", "t").orderBy("diagonal")
-    far = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOUR).cast("int"), F.lit(1))
+    # A band starts at each diagonal; votes further off belong to another copy, or to words scattered over the text.
+    band = Window.partitionBy("doc_id", "t").orderBy("diagonal").rangeBetween(0, NEIGHBOUR)
     merged = (
         by_diagonal.where("NOT base")
-        .withColumn("far", far)
-        .withColumn("island", F.sum("far").over(along))
-        .groupBy("doc_id", "t", "label", "base", "n_pairs", "island")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("n"), F.min("diagonal").alias("diagonal"))
+        .withColumn("n", F.size(F.array_distinct(F.flatten(F.collect_list("js").over(band)))))
         .withColumn("coverage", F.col("n") / F.col("n_pairs"))
         .where(F.col("coverage") >= F.when(F.col("n_pairs") < SHORT, 1.0).otherwise(COVERAGE))
         .groupBy("doc_id", "t", "label", "base")
@@ -144,11 +141,9 @@ def oracle() -> str:
         g AS (SELECT doc_id, t, label, base, n_pairs, diagonal, count(DISTINCT j) AS n FROM v GROUP BY ALL),
         e AS (SELECT doc_id, label, base, min(diagonal) AS a, max(diagonal) AS z, count(*) AS n_places, 1.0::DOUBLE AS coverage
             FROM g WHERE base AND n = n_pairs GROUP BY doc_id, t, label, base),
-        k AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {NEIGHBOUR} THEN 0 ELSE 1 END AS far
-            FROM g WHERE NOT base),
-        i AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS island FROM k),
-        m AS (SELECT i.doc_id, i.t, i.label, i.base, i.n_pairs, i.island, count(DISTINCT v.j) AS n
-            FROM i JOIN v ON v.doc_id = i.doc_id AND v.t = i.t AND v.diagonal = i.diagonal GROUP BY ALL),
+        k AS (SELECT doc_id, t, label, base, n_pairs, diagonal, list(DISTINCT j) AS js FROM v WHERE NOT base GROUP BY ALL),
+        m AS (SELECT doc_id, t, label, base, n_pairs, len(list_distinct(flatten(list(js) OVER
+            (PARTITION BY doc_id, t ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {NEIGHBOUR} FOLLOWING)))) AS n FROM k),
         s AS (SELECT doc_id, label, base, a, z, n_places, coverage FROM e UNION ALL
             SELECT doc_id, label, base, NULL, NULL, 0, n::DOUBLE / n_pairs FROM m WHERE n::DOUBLE / n_pairs >= CASE WHEN n_pairs < {SHORT} THEN 1 ELSE {COVERAGE} END),
         f AS (SELECT doc_id, sum(n_places)::BIGINT AS n_base, min(a) AS first_word, max(z) AS last_word,

@@ -200,6 +200,15 @@ def test_licences(spark, empty):
     assert licences.licence_scan(empty).count() == 0
 
 
+def test_licence_spans_are_verified(spark):
+    notice = dict((v, k) for k, v in licences.NOTICES if len(k.split()) > licences.SHORT)["bsd"].split()
+    pairs = [" ".join(notice[i : i + 2]) + " filler" for i in range(len(notice) - 1)]
+    texts = [" ".join(pairs), " ".join(notice[:5] + ["added", "words"] + notice[5:]), " ".join(notice[:6]), "word " * 30_000 + " ".join(notice), " ".join(notice[::-1])]
+    docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate([*texts, texts[1]])], "doc_id long, text string, labels string, score double")
+    got = rows(licences.licence_scan(docs))
+    assert [got[i]["labels"] for i in range(6)] == ["", "bsd", "", "bsd", "", "bsd"] and got[3]["n_words"] == 30_000 + len(notice)
+
+
 def test_private(spark, empty):
     texts = [(1, "card 4512463504900732 and 4512 4635 0490 0732, born 1999-02-28."), (2, "again 4512463504900732 not 1234567812345678"), (3, None), (4, "ann.05@mail8.example.com 10.0.0.255 +1 (949) 555-3739 2001-02-30")]
     got = rows(private.pseudonymised(spark.createDataFrame(texts, "doc_id long, text string"), key="k"))
