@@ -24,9 +24,12 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, named by spark.checkpoint.dir; only where that is unset, one of this machine's."""
+    """The folder that the cluster shares, named by spark.checkpoint.dir; a local session without one uses this machine's."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.TemporaryDirectory(prefix="graphloom-"))
         at = f"file://{_own[0].name}"
