@@ -9,18 +9,22 @@ from graphloom.llm.queries import DIGESTS, token_digests
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier, fitted on `labels`, scores 0.5 or more; null text counts as empty, without labels all stay."""
     return quality.quality_filter(docs, shared.table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts (null: empty), those with the largest doc_id."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 of their five-word shingles, that with the smallest doc_id; texts without words all stay."""
     return near_dedup.near_dedup(docs, shingle_words=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no item of `benchmark` was found; those without words hold none."""
     return decontamination.decontaminated(docs, shared.table(spark, sf_dir, "benchmark"))
 
 

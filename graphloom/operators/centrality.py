@@ -1,6 +1,6 @@
 """PageRank, HITS, Katz, eigenvector and betweenness centrality.
 
-Edges are prepared once (normalised weights, dealt by the column that is joined on); each round joins the state to them
+Edges are prepared once (normalised weights, bucketed by the column that is joined on), so that a round moves states only; each round joins the state to them
 and adds up messages with map-side combination.  With n_iter the number of rounds is fixed and no scalar is collected.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prims
-from ..plans.runtime import FailedToConvergeError, cut, iterate
+from ..plans.runtime import FailedToConvergeError, cut, iterate, scoped
 from ..sources.graph import Graph
 
 
@@ -35,7 +35,7 @@ def pagerank(g: Graph, *, alpha: float = 0.85, personalization: DataFrame | None
     """vertex, pagerank; personalization(vertex, value) and nstart(vertex, value) are normalised; dangling mass follows the teleport."""
     e = g.weighted_edges.select("src", "dst", "weight")
     out = precomputed_vertex_out_weight.toDF("src", "out") if precomputed_vertex_out_weight is not None else e.groupBy("src").agg(F.sum("weight").alias("out"))
-    edges = cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("w")))
+    edges = cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("w")), by="src")
     n = g.number_of_vertices()
     if not n:
         return g.vertices.select("vertex", F.lit(0.0).alias("pagerank"))
@@ -98,7 +98,7 @@ def katz_centrality(g: Graph, *, alpha: float | None = None, beta: float = 1.0,
         from .structure import degrees
 
         alpha = 1.0 / max(1, degrees(g).agg(F.max("degree")).first()[0] or 1)
-    edges, v = cut(g.weighted_edges.select("src", "dst", "weight")), g.vertices.select("vertex")
+    edges, v = cut(g.weighted_edges.select("src", "dst", "weight"), by="src"), g.vertices.select("vertex")
     base = v.withColumn("b", F.lit(float(beta))) if betas is None else v.join(betas.toDF("vertex", "b"), "vertex", "left").na.fill(0.0, ["b"])
     state = v.withColumn("katz_centrality", F.lit(0.0))
 
@@ -113,7 +113,7 @@ def katz_centrality(g: Graph, *, alpha: float | None = None, beta: float = 1.0,
 
 def eigenvector_centrality(g: Graph, *, max_iter: int = 100, tol: float = 1e-6, n_iter: int | None = None) -> DataFrame:
     """vertex, eigenvector_centrality: power iteration with (A + I) transposed, L2-normalised."""
-    edges, v, n = cut(g.weighted_edges.select("src", "dst", "weight")), g.vertices.select("vertex"), g.number_of_vertices()
+    edges, v, n = cut(g.weighted_edges.select("src", "dst", "weight"), by="src"), g.vertices.select("vertex"), g.number_of_vertices()
     c = "eigenvector_centrality"
 
     def step(state: DataFrame, _: int) -> DataFrame:
@@ -158,6 +158,7 @@ def _brandes(g: Graph, roots: DataFrame | None) -> tuple[DataFrame, DataFrame, D
     return every, by_edge, roots, edges
 
 
+@scoped
 def betweenness_centrality(g: Graph, *, roots: DataFrame | None = None, normalized: bool = True, endpoints: bool = False) -> DataFrame:
     """vertex, betweenness_centrality over all roots or those given (whose own vertices have one source less)."""
     paths, _, chosen, _ = _brandes(g, roots)
@@ -187,6 +188,7 @@ def betweenness_centrality(g: Graph, *, roots: DataFrame | None = None, normaliz
     return out.select("vertex", (F.col("value") * scale).alias("betweenness_centrality"))
 
 
+@scoped
 def edge_betweenness_centrality(g: Graph, *, roots: DataFrame | None = None, normalized: bool = True) -> DataFrame:
     """src, dst, betweenness_centrality: divided by n (n - 1) if normalized, else by 2 if undirected; scaled up for a sample."""
     _, terms, chosen, edges = _brandes(g, roots)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prims
-from ..plans.runtime import cut
+from ..plans.runtime import cut, scoped
 from ..sources.graph import Graph, coarsen
 
 
@@ -57,6 +57,7 @@ def _local(edges: DataFrame, vertices: DataFrame, m: float, resolution: float, t
     return best, q
 
 
+@scoped
 def louvain(g: Graph, max_level: int = 100, resolution: float = 1.0, threshold: float = 1e-7) -> tuple[DataFrame, float]:
     """(vertex, partition) and its modularity: parallel local moves, contraction, and again until nothing is gained."""
     if g.has_edge_mask():
@@ -78,6 +79,7 @@ def louvain(g: Graph, max_level: int = 100, resolution: float = 1.0, threshold:
     return flat, q
 
 
+@scoped
 def leiden(g: Graph, max_iter: int = 100, resolution: float = 1.0, random_state: int = 42, theta: float = 1.0) -> tuple[DataFrame, float]:
     """Louvain with refinement: before contraction each cluster is split into its connected parts, which the next level starts from."""
     from .components import weakly_connected_components
@@ -102,6 +104,7 @@ def leiden(g: Graph, max_iter: int = 100, resolution: float = 1.0, random_state:
     return flat, q
 
 
+@scoped
 def ecg(g: Graph, min_weight: float = 1e-4, ensemble_size: int = 100, max_level: int = 10, threshold: float = 1e-7, resolution: float = 1.0, random_state: int = 42) -> tuple[DataFrame, float]:
     """Ensemble clustering: edges are weighed by how often one-level clusterings of shuffled ids keep both ends together."""
     base = cut(g.weighted_edges.select("src", "dst", "weight"))
@@ -172,6 +175,7 @@ def spectral_modularity_clustering(g: Graph, num_clusters: int, num_eigen_vects:
 spectral_balanced_cut_clustering = spectral_modularity_clustering
 
 
+@scoped
 def approximate_weighted_matching(g: Graph) -> tuple[DataFrame, float]:
     """(vertex, partner; -1 without) and the weight of pairs that prefer each other, found round by round."""
     e = cut(g.weighted_edges.where("src != dst").groupBy("src", "dst").agg(F.max("weight").alias("weight")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prims
-from ..plans.runtime import cut, release
+from ..plans.runtime import FailedToConvergeError, cut, release, scoped
 from ..sources.graph import Graph
 
 
@@ -31,9 +31,12 @@ def weakly_connected_components(g: Graph, max_rounds: int = 100) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise FailedToConvergeError("components were not found in the rounds allowed")
     return g.vertices.select("vertex").join(edges.toDF("vertex", "labels"), "vertex", "left").select("vertex", F.coalesce("labels", "vertex").alias("labels"))
 
 
+@scoped
 def strongly_connected_components(g: Graph) -> DataFrame:
     """vertex, labels: the least id of each component.
 
@@ -83,6 +86,7 @@ def connected_components(g: Graph, connection: str = "weak") -> DataFrame:
     return strongly_connected_components(g) if connection == "strong" else weakly_connected_components(g)
 
 
+@scoped
 def maximal_independent_set(g: Graph, seed: int = 42) -> DataFrame:
     """vertex: a set that can take no more vertices without two neighbours; priorities are seeded hashes (Luby)."""
     edges = cut(prims.neighbours(g.active.unionByName(prims.reverse(g.active))))
@@ -99,6 +103,7 @@ def maximal_independent_set(g: Graph, seed: int = 42) -> DataFrame:
     return chosen if chosen is not None else left
 
 
+@scoped
 def vertex_coloring(g: Graph, seed: int = 42) -> DataFrame:
     """vertex, color: neighbours differ; each colour is an independent set of what was left."""
     edges, left, out, color = g.active, cut(g.vertices.select("vertex")), None, 0

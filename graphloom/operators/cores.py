@@ -6,26 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prims
-from ..plans.runtime import cut
+from ..plans.runtime import FailedToConvergeError, cut, release, scoped
 from ..sources.graph import Graph
 from .components import weakly_connected_components
 
 
-def core_number(g: Graph) -> DataFrame:
-    """vertex, core_number: the fixed point of each vertex's h-index over its neighbours' values, from the degrees down."""
-    edges = cut(prims.neighbours(g.active.unionByName(prims.reverse(g.active))))
-    n = g.vertices.select("vertex")
+@scoped
+def core_number(g: Graph, max_rounds: int = 10_000) -> DataFrame:
+    """vertex, core_number: the fixed point of each vertex's h-index over its neighbours' values, from the degrees down.
+
+    After the first round only neighbours of vertices whose value fell are looked at again.
+    """
+    edges = cut(prims.neighbours(g.active.unionByName(prims.reverse(g.active))), by="src")
     degree = edges.groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).cast("long").alias("value"))
-    state = cut(prims.on_vertices(n, degree, 0).withColumnRenamed("value", "core_number"))
-    while True:
+    state = cut(prims.on_vertices(g.vertices.select("vertex"), degree, 0).withColumnRenamed("value", "core_number"))
+    touched = None
+    for _ in range(max_rounds):
         # A neighbour counts up to the vertex's own value: h = max k with at least k neighbours of value >= k.
-        values = edges.join(state.toDF("dst", "v"), "dst").groupBy("src", "v").agg(F.count(F.lit(1)).alias("n"))
+        some = edges if touched is None else edges.join(touched, "src", "left_semi")
+        values = some.join(state.toDF("dst", "v"), "dst").groupBy("src", "v").agg(F.count(F.lit(1)).alias("n"))
         rows = values.groupBy(F.col("src").alias("vertex")).agg(F.sort_array(F.collect_list(F.struct("v", "n")), asc=False).alias("a"))
         h = F.aggregate("a", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("h")), lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.greatest(acc["h"], F.least(x["v"], acc["seen"] + x["n"])).alias("h")))["h"]
-        new = cut(prims.on_vertices(n, rows.select("vertex", h.alias("value")), 0).withColumnRenamed("value", "core_number"))
-        if new.join(state.toDF("vertex", "old"), "vertex").where("core_number != old").isEmpty():
-            return new
-        state = new
+        new = state.join(rows.select("vertex", h.alias("h")), "vertex", "left")
+        new = cut(new.select("vertex", F.least("core_number", F.coalesce("h", "core_number")).alias("core_number"), (F.col("h") < F.col("core_number")).alias("fell")))
+        fell = new.where("fell").select(F.col("vertex").alias("src"))
+        if fell.isEmpty():
+            return new.select("vertex", "core_number")
+        # The graph is symmetric, so the neighbours are the ends of the edges that leave the fallen vertices.
+        touched = edges.join(fell, "src", "left_semi").select(F.col("dst").alias("src")).distinct()
+        state = new.select("vertex", "core_number")
+    raise FailedToConvergeError("core numbers did not settle in the rounds allowed")
 
 
 def k_core(g: Graph, k: int | None = None, core: DataFrame | None = None) -> Graph:
@@ -54,15 +64,20 @@ def edge_triangle_count(g: Graph) -> DataFrame:
     return e.join(counts, ["u", "v"], "left").select("src", "dst", F.coalesce("counts", F.lit(0)).cast("long").alias("counts"))
 
 
+@scoped
 def k_truss(g: Graph, k: int) -> Graph:
-    """The largest subgraph in which every edge lies in k - 2 triangles."""
+    """The largest subgraph in which every edge lies in k - 2 triangles; each round but the last drops an edge."""
     keep = cut(prims.neighbours(k_core(g, k - 1).active))
+    n = keep.count()
     while True:
         strong = edge_triangle_count(Graph(keep, prims.endpoints(keep))).where(F.col("counts") >= k - 2).select("src", "dst")
         new = cut(strong)
-        if new.count() == keep.count():
-            break
+        left = new.count()
+        release(keep)
         keep = new
+        if left == n:
+            break
+        n = left
     edges = g.active.where("src != dst").join(keep, ["src", "dst"], "left_semi")
     return Graph(edges.select(*g.edges.columns), prims.endpoints(keep), g.directed)
 
@@ -70,6 +85,7 @@ def k_truss(g: Graph, k: int) -> Graph:
 ktruss_subgraph = k_truss
 
 
+@scoped
 def minimum_spanning_tree(g: Graph, *, maximum: bool = False) -> Graph:
     """A spanning forest of least (or greatest) weight by Boruvka's rounds; equal weights go by the ends' ids."""
     sign = -1.0 if maximum else 1.0

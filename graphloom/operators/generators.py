@@ -17,14 +17,14 @@ def rmat(spark: SparkSession, scale: int, num_edges: int, a: float = 0.57, b: fl
         u, v = uniform(seed, F.lit(2 * bit), "id"), uniform(seed, F.lit(2 * bit + 1), "id")
         s = (u > a + b).cast("long")
         d = F.when(s == 1, v > c / max(1 - (a + b), 1e-12)).otherwise(v > a / (a + b)).cast("long")
-        if clip_and_flip:
-            same = F.shiftrightunsigned(src, 0) == F.shiftrightunsigned(dst, 0)
-            s, d = F.when(same & (s == 0) & (d == 1), F.lit(1)).otherwise(s).cast("long"), F.when(same & (s == 0) & (d == 1), F.lit(0)).otherwise(d).cast("long")
         src = src * 2 + s if bit < scale else src
         dst = dst * 2 + d if bit < low else dst
-    out = spark.range(num_edges)
-    # One projection a bit keeps the expressions small.
-    out = out.select("id", src.alias("src"), dst.alias("dst"))
+    out = spark.range(num_edges).select("id", src.alias("src"), dst.alias("dst"))
+    if clip_and_flip:
+        # The first bit in which the ends differ moves to src, so that src >= dst.
+        filled = F.expr("aggregate(array(1, 2, 4, 8, 16, 32), src ^ dst, (x, k) -> x | shiftrightunsigned(x, k))")
+        bit = out.select("*", filled.alias("x")).select("*", F.when(F.col("src") < F.col("dst"), F.expr("x - shiftrightunsigned(x, 1)")).otherwise(0).alias("bit"))
+        out = bit.select("id", (F.col("src") + F.col("bit")).alias("src"), (F.col("dst") - F.col("bit")).alias("dst"))
     if scramble_vertex_ids:
         out = scramble(out, scale)
     extra = []

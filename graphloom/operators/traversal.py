@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prims
-from ..plans.runtime import cut, release
+from ..plans.runtime import cut, release, scoped
 from ..sources.graph import Graph
 
 MAX_INT, MAX_DOUBLE = (1 << 31) - 1, 1.7976931348623157e308
@@ -17,9 +17,10 @@ def _check(g: Graph, start: DataFrame) -> None:
         raise ValueError("a start vertex is not in the graph")
 
 
+@scoped
 def multi_source_bfs(g: Graph, starts: DataFrame, depth_limit: int | None = None) -> DataFrame:
     """root, vertex, distance, predecessor (least id; -1 for a root) of what each root reaches."""
-    edges = cut(g.active.select("src", "dst").distinct())
+    edges = cut(g.active.select("src", "dst").distinct(), by="src")
     front = cut(starts.select(F.col("vertex").alias("root"), "vertex").distinct().select("root", "vertex", F.lit(0).alias("distance"), F.lit(-1).cast("long").alias("predecessor")))
     seen, d = front, 0
     while depth_limit is None or d < depth_limit:
@@ -32,10 +33,11 @@ def multi_source_bfs(g: Graph, starts: DataFrame, depth_limit: int | None = None
     return seen
 
 
+@scoped
 def bfs(g: Graph, start: DataFrame, depth_limit: int | None = None, *, unreachable: str = "max") -> DataFrame:
     """vertex, distance, predecessor for every vertex, from the nearest of the starts(vertex)."""
     _check(g, start)
-    edges = cut(g.active.select("src", "dst").distinct())
+    edges = cut(g.active.select("src", "dst").distinct(), by="src")
     front = cut(start.select("vertex").distinct().select("vertex", F.lit(0).alias("distance"), F.lit(-1).cast("long").alias("predecessor")))
     seen, d = front, 0
     while depth_limit is None or d < depth_limit:
@@ -65,11 +67,12 @@ def _relax(g: Graph, state: DataFrame, keys: list[str], cutoff: float | None) ->
             offers = offers.where(F.col("distance") < cutoff)
         best = offers.groupBy(*keys, "vertex").agg(F.min(F.struct("distance", "predecessor")).alias("o"))
         best = best.select(*keys, "vertex", F.col("o.distance").alias("nd"), F.col("o.predecessor").alias("np"))
-        better = best.join(state, [*keys, "vertex"], "left").where("distance IS NULL OR nd < distance")
-        front = cut(better.select(*keys, "vertex", F.col("nd").alias("distance"), F.col("np").alias("predecessor")))
-        if front.isEmpty():
+        better = best.join(state, [*keys, "vertex"], "left").where("distance IS NULL OR nd < distance OR (nd = distance AND predecessor >= 0 AND np < predecessor)")
+        changed = cut(better.select(*keys, "vertex", F.col("nd").alias("distance"), F.col("np").alias("predecessor"), (F.col("distance").isNull() | (F.col("nd") < F.col("distance"))).alias("nearer")))
+        if changed.isEmpty():
             return state
-        new = cut(state.join(front, [*keys, "vertex"], "left_anti").unionByName(front))
+        front = changed.where("nearer").drop("nearer")
+        new = cut(state.join(changed, [*keys, "vertex"], "left_anti").unionByName(changed.drop("nearer")))
         release(state)
         state = new
 

@@ -1,7 +1,6 @@
 """Queries of the graph operators over the driver's tables, with their SQL where SQL can say it.
 
-The graph of parts joins the parts of consecutive lines of an order, both of more than 30 pieces; weights are pieces of
-the first.  The graph of supply joins parts and suppliers.
+The graph of parts joins the parts of consecutive lines of an order; weights are pieces of the first.  The graph of supply joins parts and suppliers.
 
 Queries called x_whole ask x of all vertices, or of all pairs with a common neighbour; x itself asks the few ids of its SQL.
 """
@@ -23,7 +22,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    some = _table(spark, d, "lineitem").where("l_quantity > 30").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    some = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     after = some.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     return some.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst", F.col("l_quantity").alias("weight"))
 
@@ -100,11 +99,6 @@ def q_temporal(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     return s.select(F.col("hop_id").cast("long").alias("hop_id"), "src", "dst", "start_time").distinct()
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    t = cores.minimum_spanning_tree(parts(spark, d))
-    return t.edges.where("src < dst").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("total_weight"))
-
-
 def _walks(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         g = parts(spark, d)
@@ -113,10 +107,6 @@ def _walks(kind: str):
     return run
 
 
-def _partition(found: tuple[DataFrame, float]) -> DataFrame:
-    return found[0].select("vertex", "partition").withColumn("modularity", F.lit(found[1]))
-
-
 def q_bc_roots(spark: SparkSession, d: str) -> DataFrame:
     g = parts(spark, d)
     return centrality.betweenness_centrality(g, roots=_nodes(spark, d, 5))
@@ -157,19 +147,14 @@ QUERIES = {
     "sssp": lambda s, d: traversal.sssp(parts(s, d, True), _nodes(s, d, 100).agg(F.min("vertex")).first()[0]).select("vertex", "distance"),
     "weakly_connected_components": lambda s, d: components.weakly_connected_components(parts(s, d)),
     "strongly_connected_components": lambda s, d: components.strongly_connected_components(parts(s, d, True)),
-    "maximal_independent_set": lambda s, d: components.maximal_independent_set(parts(s, d)),
-    "vertex_coloring": lambda s, d: components.vertex_coloring(parts(s, d)),
     "core_number": lambda s, d: cores.core_number(parts(s, d)),
     "k_core": lambda s, d: cores.k_core(parts(s, d), 3).edges.select("src", "dst"),
     "triangle_count": lambda s, d: cores.triangle_count(parts(s, d)),
     "edge_triangle_count": lambda s, d: cores.edge_triangle_count(parts(s, d)),
     "k_truss": lambda s, d: cores.k_truss(parts(s, d), 3).edges.select("src", "dst"),
-    "minimum_spanning_tree": _tree,
     "modularity": lambda s, d: community.modularity(parts(s, d).weighted_edges, q_clusters(parts(s, d))).select(_r("modularity")),
     "edge_cut": lambda s, d: community.edge_cut(parts(s, d).weighted_edges, q_clusters(parts(s, d))).select(_r("edge_cut")),
     "ratio_cut": lambda s, d: community.ratio_cut(parts(s, d).weighted_edges, q_clusters(parts(s, d))).select(_r("ratio_cut")),
-    "louvain": lambda s, d: _partition(community.louvain(parts(s, d), max_level=2)),
-    "matching": lambda s, d: community.approximate_weighted_matching(parts(s, d))[0],
     "jaccard": _similar("jaccard", False), "sorensen": _similar("sorensen", False), "overlap": _similar("overlap", False), "cosine": _similar("cosine", False),
     "jaccard_weighted": _similar("jaccard", True), "sorensen_weighted": _similar("sorensen", True), "overlap_weighted": _similar("overlap", True), "cosine_weighted": _similar("cosine", True),
     "all_pairs_jaccard": _all_pairs("jaccard"), "all_pairs_sorensen": _all_pairs("sorensen"), "all_pairs_overlap": _all_pairs("overlap"),
@@ -195,7 +180,7 @@ QUERIES = {
 }
 
 _RAW = """raw AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, a.l_quantity AS weight FROM lineitem a JOIN lineitem b
-    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity > 30 AND b.l_quantity > 30)"""
+    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
 _DIR = f"{_RAW}, e AS (SELECT src, dst, min(weight) AS weight FROM raw GROUP BY src, dst)"
 _UND = f"""{_RAW}, s AS (SELECT src, dst, min(weight) AS weight FROM raw GROUP BY src, dst),
     e AS (SELECT src, dst, avg(weight) AS weight FROM (SELECT * FROM s UNION ALL SELECT dst, src, weight FROM s WHERE src <> dst) GROUP BY src, dst)"""

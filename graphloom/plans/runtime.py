@@ -6,11 +6,14 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[tempfile.TemporaryDirectory] = []
 _paths: list[tuple[SparkSession, str]] = []
+#: Tables made by the operators that run now, the innermost last.
+_scopes: list[list[DataFrame]] = []
 
 
 class FailedToConvergeError(Exception):
@@ -18,9 +21,12 @@ class FailedToConvergeError(Exception):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where that is unset (single-process sessions)."""
+    """spark.checkpoint.dir; a local session without one uses a folder of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.TemporaryDirectory(prefix="graphloom-"))
         at = f"file://{_own[0].name}"
@@ -35,22 +41,69 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: its lineage ends, and losing an executor loses nothing."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: its lineage ends, and losing an executor loses nothing.
+
+    With `by` the table is bucketed by that column, so that joins and groupings on it, round after round, move only the
+    other side.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/core-{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/graphloom/core-{name}"
     if not _paths:
         atexit.register(lambda: [_drop(*x) for x in _paths])
     _paths.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        df.repartition(n, by).write.bucketBy(n, by).option("path", path).saveAsTable(f"graphloom_{name}")
+        out = spark.table(f"graphloom_{name}")
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
 
 
 def release(df: DataFrame) -> None:
     """Deletes a table made by cut() that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graphloom/core-" in path:
-            _drop(df.sparkSession, path)
+    for path in _folders(df):
+        _drop(df.sparkSession, path)
+        table = f"graphloom_{path.rsplit('core-', 1)[1]}"
+        if df.sparkSession.catalog.tableExists(table):
+            df.sparkSession.sql(f"DROP TABLE {table}")
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {path for path in (f.rsplit("/", 1)[0] for f in df.inputFiles()) if "/graphloom/core-" in path}
+
+
+def scoped(operator):
+    """Frees the tables that an operator's rounds have made, but for those that its result reads."""
+
+    @wraps(operator)
+    def run(*args, **options):
+        _scopes.append([])
+        try:
+            out = operator(*args, **options)
+        except BaseException:
+            _scopes.pop()
+            raise
+        made, read = _scopes.pop(), set()
+        parts = out if isinstance(out, tuple) else (out,)
+        for x in [y for part in parts for y in (part, getattr(part, "edges", None), getattr(part, "vertices", None))]:
+            if isinstance(x, DataFrame):
+                read |= {f.rsplit("core-", 1)[1] for f in _folders(x)}
+        for table in made:
+            folders = _folders(table)
+            if any(f.rsplit("core-", 1)[1] in read for f in folders):
+                if _scopes:
+                    _scopes[-1].append(table)
+            elif folders:
+                release(table)
+        return out
+
+    return run
 
 
 def iterate(
