@@ -287,7 +287,8 @@ def byte_dedup(docs: DataFrame, *, window: int = 50, keep_bytes: bool = True) ->
 
     A byte of the UTF-8 text is removed if a string of `window` bytes that covers it also starts in a document with a
     smaller doc_id.  Repeats within a document count for nothing.  Null text counts as empty; shorter texts stay whole.
-    doc_id names a document and occurs once.  Other columns are ignored; an empty table gives no rows.
+    doc_id names a document: rows that repeat one must repeat its text, and each of them is returned with the same answer.
+    Other columns are ignored; an empty table gives no rows; texts may be of any length.
     """
     docs = shared.documents(docs)
     n = shared.parts(docs.sparkSession)

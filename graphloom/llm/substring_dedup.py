@@ -285,7 +285,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, keep_text: bool = True
 
     A word is removed if a run of `window` words that covers it also starts anywhere else, the same document included.
     Null text counts as empty; a document with fewer words keeps them all; copies of a document lose all words, in every
-    copy.  doc_id names a document and occurs once.  Other columns are ignored; an empty table gives no rows.
+    copy, and so do rows that repeat a doc_id, each of which is returned.  Other columns are ignored; an empty table gives
+    no rows; texts may be of any length.
     """
     docs = shared.documents(docs)
     n = shared.parts(docs.sparkSession)

@@ -478,3 +478,84 @@ def test_toxicity_draws_from_distinct_texts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "UNLABELLED", 400)
     toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels, "toxic", (5, 0))
     assert drawn[1][0] == 1 and 60 < drawn[1][1] <= 101
+
+
+def test_reference_block_parses_by_words():
+    r, window = random.Random(11), 35
+    left, count, content = [], [], []
+    for _ in range(60):
+        n_left, n_right = r.randrange(24), r.randrange(24)
+        if n_left + n_right + 12 < window:
+            continue
+        words = [r.choice(["a", "b"]) if r.random() < 0.1 else "a" for _ in range(n_left)] + [r.choice(["x", "y"])] * 12 + [r.choice(["a", "b"]) if r.random() < 0.1 else "a" for _ in range(n_right)]
+        left.append(n_left)
+        count.append(len(words) - window + 1)
+        content.append(" ".join(words).encode())
+    left, count = np.array(left), np.array(count)
+    whole = np.array([i % 7 == 0 for i in range(len(left))])
+    x, start, n, y, source = substring_dedup.ReferenceBlock(left, count, content, window).factors(whole)
+    words, places = [c.split() for c in content], {}
+    for i, w in enumerate(words):
+        for s in range(count[i]):
+            places.setdefault((left[i] - s, tuple(w[s : s + window])), []).append((i, s))
+    repeated = {p for ps in places.values() if len(ps) > 1 for p in ps if not whole[p[0]]}
+    assert repeated and repeated == {(i, s + k) for i, s, m in zip(x.tolist(), start.tolist(), n.tolist()) for k in range(m - window + 1)}
+    for i, s, m, j, t in zip(x, start, n, y, source):
+        assert (i, s) != (j, t) and words[i][s : s + m] == words[j][t : t + m]
+
+
+def test_suffix_arrays_settle_windows(monkeypatch):
+    r, window = random.Random(12), 50
+    gram = bytes(range(65, 65 + byte_dedup.GRAM))
+    rows_ = []
+    for i in range(80):
+        n_left, n_right = r.randrange(27), r.randrange(27)
+        if n_left + n_right + len(gram) >= window:
+            text = bytes(r.choice(b"aab") if r.random() < 0.1 else 97 for _ in range(n_left)) + gram + bytes(r.choice(b"aab") if r.random() < 0.1 else 97 for _ in range(n_right))
+            rows_.append((i % 3, n_left, len(text) - window + 1, 1000 - i, text))
+    rows_.sort(key=lambda x: x[0])
+    key, left, count, doc = (np.array(c) for c in list(zip(*rows_))[:4])
+    least = {}
+    for k, n, c, d, t in rows_:
+        for s in range(c):
+            at = k, n - s, t[s : s + window]
+            least[at] = min(least.get(at, d), d)
+    expect = [least[k, n - s, t[s : s + window]] for k, n, c, _, t in rows_ for s in range(c)]
+    for limit in (250_000, 300, 1):
+        monkeypatch.setattr(byte_dedup, "TEXT", limit)
+        assert byte_dedup._Windows(key, left, count, doc, [t for *_, t in rows_], window).settle().tolist() == expect
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    """Rows that repeat a document give a row each, with the same answer; other columns, whatever their names, change nothing."""
+    import public_tokenizers
+
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(2, 8)))
+    long = " ".join(word() for _ in range(30_000))
+    item = " ".join(word() for _ in range(40))
+    texts = [(1, long), (2, "short text"), (3, "before " + item + " after"), (4, None), (5, ""), (6, " ".join(long.split()[500:700]))]
+    clash = "doc_id long, text string, n string, found string, data string, x string, g string, shingles string, class_id string, label string, h string, kept string, file string, row string, digest string, score string, ids string, item_id string"
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    names = clash.count(",") - 1
+    docs = spark.createDataFrame([(*x, *["z"] * names) for x in [*texts, *texts]], clash)
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 7)], "doc_id long, quality int, toxic int")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    operators = {
+        "licences": licences.licence_scan,
+        "bytes": lambda d: byte_dedup.byte_dedup(d).select("doc_id", "n_removed", "kept_sha256"),
+        "leaks": lambda d: decontamination.leaks(d, items),
+        "quality": lambda d: quality.quality_scores(d, labels).select("doc_id", "held_out"),
+        "toxicity": lambda d: toxicity.toxicity_scores(d, labels).select("doc_id", "predicted"),
+        "near": near_dedup.near_groups,
+        "exact": lambda d: exact_dedup.exact_groups(d).select("doc_id", "keep_id", "kept"),
+        "bpe": lambda d: bpe.encode(d, path),
+        "private": lambda d: private.pseudonymised(d, key="k"),
+    }
+    for name, run in operators.items():
+        once, twice = (sorted(map(str, run(d).collect())) for d in (plain, docs))
+        assert twice == sorted(once * 2), name
+    # A repeated row is a place elsewhere, so all its windows of words repeat.
+    got = substring_dedup.substring_dedup(docs, window=35).collect()
+    assert sorted((x["doc_id"], x["n_words"] - x["n_removed"]) for x in got) == sorted([(1, 0), (2, 2), (3, 0), (4, 0), (5, 0), (6, 0)] * 2)
