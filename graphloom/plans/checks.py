@@ -149,7 +149,6 @@ QUERIES = {
     "negative_sampling_valid": negatives,
     "neighbor_sample_valid": sampled_neighbours,
     "louvain_valid": lambda s, d: _clusters(community.louvain(q.parts(s, d)), q.parts(s, d)),
-    "leiden_valid": lambda s, d: _clusters(community.leiden(q.parts(s, d)), q.parts(s, d)),
     "rmat_valid": _rmat(),
     "rmat_clipped_valid": _rmat(clip_and_flip=True),
     "all_pairs_cosine": lambda s, d: similarity.all_pairs(q.parts(s, d), "cosine", topk=200).select("first", "second", q._r("cosine_coeff")),
@@ -184,7 +183,6 @@ ORACLE_SQL = {
     "negative_sampling_valid": _zeros("edges", "unknown"),
     "neighbor_sample_valid": _zeros("wrong_number", "no_edge", "missing"),
     "louvain_valid": _zeros("wrong_modularity", "unlabelled", "repeated"),
-    "leiden_valid": _zeros("wrong_modularity", "unlabelled", "repeated"),
     "rmat_valid": _zeros("outside", "upper") + ", 16384::BIGINT AS n",
     "rmat_clipped_valid": _zeros("outside", "upper") + ", 16384::BIGINT AS n",
     "all_pairs_cosine": f"WITH {q._UND} SELECT DISTINCT a.src AS first, b.src AS second, 1.0::DOUBLE AS cosine_coeff FROM e a JOIN e b ON a.dst = b.dst AND a.src <> b.src ORDER BY first, second LIMIT 200",
