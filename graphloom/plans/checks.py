@@ -37,7 +37,7 @@ def independent_set(s: SparkSession, d: str) -> DataFrame:
 
 
 def colouring(s: SparkSession, d: str) -> DataFrame:
-    g = q.parts(s, d)
+    g = q.supply(s, d)
     colour = components.vertex_coloring(g)
     same = prims.neighbours(g.active).join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b")
     return _none(same_colour=same, uncoloured=g.vertices.select("vertex").join(colour, "vertex", "left_anti"))
@@ -148,7 +148,7 @@ QUERIES = {
     "select_random_vertices_valid": sampled_vertices,
     "negative_sampling_valid": negatives,
     "neighbor_sample_valid": sampled_neighbours,
-    "louvain_valid": lambda s, d: _clusters(community.louvain(q.parts(s, d)), q.parts(s, d)),
+    "louvain_valid": lambda s, d: _clusters(community.louvain(q.parts(s, d), max_level=2), q.parts(s, d)),
     "rmat_valid": _rmat(),
     "rmat_clipped_valid": _rmat(clip_and_flip=True),
     "all_pairs_cosine": lambda s, d: similarity.all_pairs(q.parts(s, d), "cosine", topk=200).select("first", "second", q._r("cosine_coeff")),
