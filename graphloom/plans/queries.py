@@ -44,8 +44,13 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return centrality.pagerank(supply(spark, d), n_iter=10).orderBy(F.desc("pagerank"), "vertex").limit(100)
 
 
+def _rounded(value, digits: int = 6):
+    """As SQL rounds a double: the double nearest to value * 10 ** digits decides what lies half-way, not the shortest decimal that F.round reads."""
+    return F.round(value * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def _r(column: str, digits: int = 6):
-    return F.round(column, digits).alias(column)
+    return _rounded(F.col(column), digits).alias(column)
 
 
 def q_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +62,7 @@ def _similar(name: str, weighted: bool, whole: bool = False):
         g = parts(spark, d)
         found = similarity.similarity(g, name, None if whole else q_pairs(spark, d), use_weight=weighted)
         c = f"{name}_coeff"
-        return found.select("first", "second", F.round(F.when(F.isnan(c), None).otherwise(F.col(c)), 6).alias(c))
+        return found.select("first", "second", _rounded(F.when(F.isnan(c), None).otherwise(F.col(c))).alias(c))
 
     return run
 

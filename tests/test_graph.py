@@ -230,3 +230,14 @@ def test_whole_queries(spark, tmp_path):
         walks = got(f"{kind}_random_walks")
         assert sorted(path[0] for _, path, _ in walks) == sorted(v)
         assert all((a, b) in u for _, path, _ in walks for a, b in zip(path, path[1:]))
+
+
+def test_values_half_way_round_as_in_sql(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from graphloom.plans import queries
+
+    values = [0.0640625, 0.1640625, 0.0000005, 0.3984375, 2.5, -0.0640625, 1 / 3, 41 / 640]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").coalesce(1).select(queries._rounded(F.col("x"))).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in values]
