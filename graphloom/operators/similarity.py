@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graph import Graph
-from .structure import two_hop_neighbors
+from . import wedges
 
 NAMES = ("jaccard", "sorensen", "overlap", "cosine")
 
@@ -26,6 +27,22 @@ def _score(name: str, weighted: bool) -> Column:
     return F.when(down > 0, both / down).otherwise(0.0)
 
 
+def _whole(name: str, weighted: bool):
+    """The sums that a score needs, and _score over arrays, for pairs with a common neighbour (so n > 0)."""
+    both = "both" if weighted else "n"
+    if name == "cosine":
+        if weighted:
+            return ("n", "dot", "na", "nb"), lambda wa, wb, n, dot, na, nb: dot / (np.sqrt(na) * np.sqrt(nb))
+        return ("n",), lambda wa, wb, n: np.ones(len(n))
+
+    def score(wa, wb, **sums):
+        up = sums[both].astype(np.float64)
+        down = {"jaccard": lambda: wa + wb - up, "sorensen": lambda: wa + wb, "overlap": lambda: np.minimum(wa, wb)}[name]()
+        return np.where(down > 0, (2 * up if name == "sorensen" else up) / down, 0.0)
+
+    return (("n", "both") if weighted else ("n",)), score
+
+
 def _shared(hits: DataFrame) -> DataFrame:
     """Sums over common neighbours, from rows first, second, x, y (the two weights)."""
     return hits.groupBy("first", "second").agg(
@@ -55,8 +72,9 @@ def _edges(g: Graph, use_weight: bool) -> DataFrame:
 def similarity(g: Graph, name: str, pairs: DataFrame | None = None, *, use_weight: bool = False) -> DataFrame:
     """Scores of pairs(first, second); without pairs those of all two-hop neighbours, (v, v) included."""
     e = _edges(g, use_weight)
-    pairs = two_hop_neighbors(g) if pairs is None else pairs.select(F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"))
-    asked = pairs.distinct()
+    if pairs is None:
+        return wedges.all_scores(e, f"{name}_coeff", *_whole(name, use_weight))
+    asked = pairs.select(F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second")).distinct()
     hits = asked.join(e.toDF("first", "nbr", "x"), "first").join(e.toDF("second", "nbr", "y"), ["second", "nbr"])
     return _scored(g, asked, _shared(hits), e, name, use_weight)
 
@@ -64,10 +82,7 @@ def similarity(g: Graph, name: str, pairs: DataFrame | None = None, *, use_weigh
 def all_pairs(g: Graph, name: str, vertices: DataFrame | None = None, *, use_weight: bool = False, topk: int | None = None) -> DataFrame:
     """Scores of all pairs with a common neighbour, in both orders and never (v, v); topk keeps the best by score, first, second."""
     e = _edges(g, use_weight)
-    left = e if vertices is None else e.join(vertices.select(F.col("vertex").alias("src")), "src", "left_semi")
-    hits = left.toDF("first", "nbr", "x").join(e.toDF("second", "nbr", "y"), "nbr").where("first != second")
-    found = _shared(hits)
-    out = _scored(g, found.select("first", "second"), found, e, name, use_weight)
+    out = wedges.all_scores(e, f"{name}_coeff", *_whole(name, use_weight), firsts=vertices, loops=False, topk=topk)
     return out if topk is None else out.orderBy(F.desc(f"{name}_coeff"), "first", "second").limit(topk)
 
 

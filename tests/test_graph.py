@@ -241,3 +241,42 @@ def test_values_half_way_round_as_in_sql(spark):
     values = [0.0640625, 0.1640625, 0.0000005, 0.3984375, 2.5, -0.0640625, 1 / 3, 41 / 640]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").coalesce(1).select(queries._rounded(F.col("x"))).collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in values]
+
+
+def test_pairs_of_neighbours_stay_in_their_block(spark, monkeypatch):
+    """Many blocks, a vertex of more wedges than a step, weights: as brute force, and pairs are never shuffled."""
+    from graphloom.operators import wedges
+
+    rng = np.random.default_rng(5)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (250, 2)).tolist()} | {(0, b) for b in range(60)}
+    rows = [(a, b, float(w) / 2) for (a, b), w in zip(sorted(pairs), rng.integers(1, 60, len(pairs)).tolist())]
+    g = Graph.from_edgelist(spark.createDataFrame(rows, "src long, dst long, weight double"), weight="weight")
+    near: dict[int, dict[int, float]] = {}
+    for a, b, w in rows:
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    monkeypatch.setattr(wedges, "WEDGES", 2_000)
+    for weighted in (False, True):
+        found = similarity.similarity(g, "jaccard", use_weight=weighted)
+        assert "hashpartitioning(first" not in found._jdf.queryExecution().toString()
+        expect = {}
+        for a, x in near.items():
+            for b, y in near.items():
+                if common := x.keys() & y.keys():
+                    value = lambda w: w if weighted else 1.0  # noqa: B023, E731
+                    both = sum(min(value(x[k]), value(y[k])) for k in common)
+                    expect[a, b] = both / (sum(map(value, x.values())) + sum(map(value, y.values())) - both)
+        got = {(r[0], r[1]): r[2] for r in found.collect()}
+        assert got.keys() == expect.keys() and all(abs(got[k] - expect[k]) < 1e-12 for k in expect)
+        best = similarity.all_pairs(g, "jaccard", use_weight=weighted, topk=7, vertices=spark.createDataFrame([(v,) for v in range(0, 60, 3)], "vertex long"))
+        order = sorted((-got[k], *k) for k in got if k[0] % 3 == 0 and k[0] != k[1])
+        assert [(-r[2], r[0], r[1]) for r in best.collect()] == order[:7]
+    import pyarrow as pa
+
+    e = [(a, b, w) for a in near for b, w in near[a].items()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(a, b, w, sum(near[a].values()), True) for a, b, w in e])], ["src", "dst", "weight", "total", "asked"])
+    block = wedges._Block([r.column("data")[0].as_py() for r in wedges._lists(np.zeros(0, dtype=np.int64))(iter([batch]))])
+    whole = {k: v for x in block.pairs(("n", "both")) for k, v in zip(zip(x[0].tolist(), x[1].tolist()), zip(x[2]["n"].tolist(), x[2]["both"].tolist()))}
+    monkeypatch.setattr(wedges, "STEP", 20)
+    steps = {k: v for x in block.pairs(("n", "both")) for k, v in zip(zip(x[0].tolist(), x[1].tolist()), zip(x[2]["n"].tolist(), x[2]["both"].tolist()))}
+    assert steps == whole and whole.keys() == expect.keys()
