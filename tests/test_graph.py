@@ -280,3 +280,26 @@ def test_pairs_of_neighbours_stay_in_their_block(spark, monkeypatch):
     monkeypatch.setattr(wedges, "STEP", 20)
     steps = {k: v for x in block.pairs(("n", "both")) for k, v in zip(zip(x[0].tolist(), x[1].tolist()), zip(x[2]["n"].tolist(), x[2]["both"].tolist()))}
     assert steps == whole and whole.keys() == expect.keys()
+
+
+def test_hops_stay_in_their_block(spark, monkeypatch):
+    """Many blocks, one start of many paths, starts without edges: as brute force, and pairs are never shuffled."""
+    from graphloom.operators import hops
+
+    rng = np.random.default_rng(6)
+    e = sorted({(a, b) for a, b in rng.integers(0, 50, (200, 2)).tolist()} | {(0, b) for b in range(50)} | {(3, 90)})
+    g = Graph.from_edgelist(spark.createDataFrame(e, "src long, dst long"), directed=True)
+    starts = [*range(0, 50, 2), 90, 91]
+    monkeypatch.setattr(hops, "EDGES", 20)
+    for k in (0, 1, 2, 3):
+        expect = {(v, v) for v in starts}
+        for _ in range(k):
+            expect = {(a, y) for a, b in expect for x, y in e if x == b}
+        found = structure.k_hop_nbrs(g, spark.createDataFrame([(v,) for v in starts], "vertex long"), k)
+        assert not k or "hashpartitioning(start" not in found._jdf.queryExecution().toString()
+        assert sorted(tuple(r) for r in found.collect()) == sorted(expect)
+    monkeypatch.setattr(hops, "STEP", 30)
+    paths = hops._Paths(*(np.array(c) for c in zip(*e)))
+    own = np.searchsorted(paths.ids, [v for v in starts if v != 91])
+    got = [(int(paths.ids[a]), int(paths.ids[z])) for x, y in paths.ends(own, 3) for a, z in zip(x, y)]
+    assert sorted(got) == sorted(expect)
