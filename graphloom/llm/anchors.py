@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from . import shared
 from .kernels import U64, Words, blocks, byte_symbols, flat_text, gram_hashes, mix, ragged, sliding_min
 
-BLOCK = 4 << 20
+#: Bytes of text in a block.  Arrays are of units, so where these are bytes a block is smaller: a worker's memory is about 120 bytes a unit.
+BLOCK, BYTE_BLOCK = 4 << 20, 1 << 20
 #: Packed rows on their way back to documents.
 PACKED = "bucket int, data binary"
 _HIDE = U64(0xFFFF)
@@ -84,7 +85,7 @@ def _deal(keys: np.ndarray, n_parts: int) -> np.ndarray:
 
 def _anchor_rows(kind: str, window: int, gram: int, n_parts: int, across: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, BLOCK):
+        for block in blocks(batches, BYTE_BLOCK if kind == "bytes" else BLOCK):
             units = Units(kind, *flat_text(block.column("text")))
             _, _, _, places, grams = units.anchors(window, gram)
             if not len(places):

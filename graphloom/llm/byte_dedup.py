@@ -57,7 +57,7 @@ def _looked_up(window: int, keep_bytes: bool):
     """Documents without a candidate window are finished; of the others, text and candidate starts are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, anchors.BLOCK):
+        for block in blocks(batches, anchors.BYTE_BLOCK):
             text = block.column("text")
             units = Units("bytes", *flat_text(text))
             starts, doc = anchors.candidate_windows(units, window, GRAM, block.column("found"))
@@ -82,7 +82,7 @@ def _context_rows(window: int, n_parts: int):
     """Contexts dealt by anchor; a context that a block has in several documents goes on for the smallest only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, anchors.BLOCK):
+        for block in blocks(batches, 2 * anchors.BYTE_BLOCK):
             units = Units("bytes", *flat_text(block.column("text")))
             ids = block.column("doc_id").to_numpy()
             at = [unpack(x) for x in block.column("windows").to_pylist()]
@@ -271,7 +271,7 @@ def _repeats(window: int, n_buckets: int):
 
 def _cut(window: int, keep_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, anchors.BLOCK):
+        for block in blocks(batches, anchors.BYTE_BLOCK):
             units = Units("bytes", *flat_text(block.column("text")))
             starts = [np.zeros(0, dtype=np.int64)]
             for i in range(block.num_rows):

@@ -559,3 +559,20 @@ def test_repeated_rows_long_texts_and_clashing_columns(spark):
     # A repeated row is a place elsewhere, so all its windows of words repeat.
     got = substring_dedup.substring_dedup(docs, window=35).collect()
     assert sorted((x["doc_id"], x["n_words"] - x["n_removed"]) for x in got) == sorted([(1, 0), (2, 2), (3, 0), (4, 0), (5, 0), (6, 0)] * 2)
+
+
+def test_byte_blocks_bound_a_workers_memory():
+    """What a worker holds for a block of op2 at once: it shares its executor's memory with another and Spark's heap."""
+    import tracemalloc
+
+    from graphloom.llm import anchors
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, row)) for row in rng.integers(97, 123, (1000, 4000), dtype=np.uint8).tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), type=pa.int64()), pa.array(texts), pa.array([None] * 1000, type=pa.list_(pa.binary()))], ["doc_id", "text", "found"])
+    for run in (anchors._anchor_rows("bytes", 50, byte_dedup.GRAM, 8, True), byte_dedup._looked_up(50, False)):
+        tracemalloc.start()
+        assert sum(x.num_rows for x in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20
