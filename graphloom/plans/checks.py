@@ -151,7 +151,7 @@ QUERIES = {
     "louvain_valid": lambda s, d: _clusters(community.louvain(q.parts(s, d), max_level=2), q.parts(s, d)),
     "rmat_valid": _rmat(),
     "rmat_clipped_valid": _rmat(clip_and_flip=True),
-    "all_pairs_cosine": lambda s, d: similarity.all_pairs(q.parts(s, d), "cosine", topk=200).select("first", "second", q._r("cosine_coeff")),
+    "all_pairs_cosine": q._all_pairs("cosine"),
     "nodes": lambda s, d: q.parts(s, d).vertices.select("vertex"),
     "graph_size": lambda s, d: s.createDataFrame([((g := q.parts(s, d)).number_of_vertices(), g.number_of_edges(), round(g.density(), 9))], "n_vertices long, n_edges long, density double"),
     "self_loops_removed": lambda s, d: remove_self_loops(q._raw(s, d)).select("src", "dst", "weight"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import centrality, community, components, cores, generators, layout, sampling, similarity, structure, traversal
 from ..sources import tables
 from ..sources.graph import Graph, coarsen, dense_ids, remove_multi_edges, symmetrize_edges
+from .runtime import cut, scoped, tidy
 
 SUPPLIERS = 1_000_000_000
 
@@ -31,6 +32,13 @@ def parts(spark: SparkSession, d: str, directed: bool = False) -> Graph:
     return Graph.from_edgelist(_raw(spark, d), weight="weight", directed=directed)
 
 
+def stored_parts(spark: SparkSession, d: str) -> Graph:
+    """parts with its lines joined and written first: what that shuffled is freed before edges are made."""
+    raw = cut(_raw(spark, d))
+    tidy(spark)
+    return Graph.from_edgelist(raw, weight="weight")
+
+
 def supply(spark: SparkSession, d: str) -> Graph:
     pairs = _table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIERS).alias("dst"))
     return Graph.from_edgelist(pairs)
@@ -58,8 +66,9 @@ def q_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar(name: str, weighted: bool, whole: bool = False):
+    @scoped
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = parts(spark, d)
+        g = stored_parts(spark, d) if whole else parts(spark, d)
         found = similarity.similarity(g, name, None if whole else q_pairs(spark, d), use_weight=weighted)
         c = f"{name}_coeff"
         return found.select("first", "second", _rounded(F.when(F.isnan(c), None).otherwise(F.col(c))).alias(c))
@@ -68,8 +77,9 @@ def _similar(name: str, weighted: bool, whole: bool = False):
 
 
 def _all_pairs(name: str):
+    @scoped
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return similarity.all_pairs(parts(spark, d), name, topk=200).select("first", "second", _r(f"{name}_coeff"))
+        return similarity.all_pairs(stored_parts(spark, d), name, topk=200).select("first", "second", _r(f"{name}_coeff"))
 
     return run
 

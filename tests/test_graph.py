@@ -303,3 +303,32 @@ def test_hops_stay_in_their_block(spark, monkeypatch):
     own = np.searchsorted(paths.ids, [v for v in starts if v != 91])
     got = [(int(paths.ids[a]), int(paths.ids[z])) for x, y in paths.ends(own, 3) for a, z in zip(x, y)]
     assert sorted(got) == sorted(expect)
+
+
+def test_edges_of_pairs_are_shuffled_packed(spark, tmp_path):
+    """Of what a whole similarity has written only packed lists stay, and their totals are right; rows of edges are never shuffled again."""
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import wedges
+    from graphloom.plans import queries as q
+
+    rng = np.random.default_rng(8)
+    lines = [(int(o), i, int(p), float(w)) for o in range(60) for i, (p, w) in enumerate(zip(rng.integers(0, 25, 5), rng.integers(1, 50, 5)))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = [tuple(r) for r in q.parts(spark, str(tmp_path)).weighted_edges.select("src", "dst", "weight").collect()]
+    totals: dict[int, float] = {}
+    for a, _, w in edges:
+        totals[a] = totals.get(a, 0.0) + w
+    found = q.QUERIES["sorensen_weighted_whole"](spark, str(tmp_path))
+    folders = {f.rsplit("/", 1)[0] for f in found.inputFiles()}
+    assert len(folders) == 1
+    rows = spark.read.parquet(*folders)
+    assert "data" in rows.columns and rows.agg(F.sum("edges")).first()[0] == len(edges)
+    got = []
+    for r in rows.collect():
+        src, dst, weight, total, asked = wedges.unpack(r["data"])
+        assert asked.all() and (np.diff(dst) >= 0).all()
+        got += zip(src.tolist(), dst.tolist(), weight.view(np.float64).tolist(), total.view(np.float64).tolist())
+    assert sorted(got) == sorted((a, b, w, totals[a]) for a, b, w in edges)
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "hashpartitioning(dst" not in plan
