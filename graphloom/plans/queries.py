@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import centrality, community, components, cores, generators, layout, sampling, similarity, structure, traversal
 from ..sources import tables
 from ..sources.graph import Graph, coarsen, dense_ids, remove_multi_edges, symmetrize_edges
-from .runtime import cut, scoped, tidy
+from .runtime import cut, scoped
 
 SUPPLIERS = 1_000_000_000
 
@@ -34,9 +34,7 @@ def parts(spark: SparkSession, d: str, directed: bool = False) -> Graph:
 
 def stored_parts(spark: SparkSession, d: str) -> Graph:
     """parts with its lines joined and written first: what that shuffled is freed before edges are made."""
-    raw = cut(_raw(spark, d))
-    tidy(spark)
-    return Graph.from_edgelist(raw, weight="weight")
+    return Graph.from_edgelist(cut(_raw(spark, d)), weight="weight")
 
 
 def supply(spark: SparkSession, d: str) -> Graph:

@@ -8,7 +8,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +44,23 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def _freed(spark: SparkSession):
+    """Of what is written meanwhile, Spark deletes the shuffle files as soon as it is written, and not when garbage happens to be collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it again: its lineage ends, and losing an executor loses nothing.
+    """Writes df to the shared folder and reads it again: its lineage ends, losing an executor loses nothing, and what it shuffled is freed.
 
     With `by` the table is bucketed by that column, so that joins and groupings on it, round after round, move only the
     other side.
@@ -57,11 +72,13 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
         atexit.register(lambda: [_drop(*x) for x in _paths])
     _paths.append((spark, path))
     if by is None:
-        df.write.parquet(path)
+        with _freed(spark):
+            df.write.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
     else:
         n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        df.repartition(n, by).write.bucketBy(n, by).option("path", path).saveAsTable(f"graphloom_{name}")
+        with _freed(spark):
+            df.repartition(n, by).write.bucketBy(n, by).option("path", path).saveAsTable(f"graphloom_{name}")
         out = spark.table(f"graphloom_{name}")
     if _scopes:
         _scopes[-1].append(out)

@@ -332,3 +332,25 @@ def test_edges_of_pairs_are_shuffled_packed(spark, tmp_path):
     assert sorted(got) == sorted((a, b, w, totals[a]) for a, b, w in edges)
     plan = found._jdf.queryExecution().toString()
     assert "Window" not in plan and "hashpartitioning(dst" not in plan
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
+    """With no garbage collected: what a written table has shuffled is gone at once, and what was set before is set again."""
+    import gc
+
+    from graphloom.plans import runtime
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllBlocks()) if b.toString().startswith("shuffle")}
+    before, was = held(), spark.conf.get(key, None)
+    gc.disable()
+    try:
+        table = runtime.cut(spark.range(10_000, numPartitions=4).groupBy("id").count())
+        bucketed = runtime.cut(spark.range(1000, numPartitions=4).groupBy("id").count(), by="id")
+        assert held() <= before
+    finally:
+        gc.enable()
+    assert table.count() == 10_000 and bucketed.count() == 1000 and spark.conf.get(key, None) == was
+    for x in (table, bucketed):
+        runtime.release(x)
