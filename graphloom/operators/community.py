@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import prims
 from ..plans.runtime import cut, scoped
 from ..sources.graph import Graph, coarsen
+from . import moves
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -41,6 +42,9 @@ def _move(edges: DataFrame, state: DataFrame, m: float, resolution: float, up: b
 
 
 def _local(edges: DataFrame, vertices: DataFrame, m: float, resolution: float, threshold: float) -> tuple[DataFrame, float]:
+    """Local moves, round by round: in passes over packed edges if the driver can hold the clusters of all vertices, else by joins."""
+    if (held := moves.held(edges, vertices, m, resolution, threshold)) is not None:
+        return held
     best = cut(vertices.select("vertex", F.col("vertex").alias("cluster")))
     q = _q(edges, best, resolution)
     state, up, gained = best, True, True

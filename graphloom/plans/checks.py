@@ -12,6 +12,7 @@ from ..functions import prims
 from ..operators import centrality, community, components, cores, generators, layout, sampling, similarity, structure, traversal
 from ..sources.graph import Graph, remove_self_loops, symmetrize_edges
 from . import queries as q
+from .runtime import cut, scoped
 
 
 def _none(**counts: DataFrame) -> DataFrame:
@@ -108,6 +109,13 @@ def _clusters(found, g: Graph) -> DataFrame:
     return _none(wrong_modularity=q_value.where("wrong"), unlabelled=g.vertices.select("vertex").join(labels, "vertex", "left_anti"), repeated=labels.groupBy("vertex").count().where("count > 1"))
 
 
+@scoped
+def louvain(s: SparkSession, d: str) -> DataFrame:
+    edges = cut(q.stored_parts(s, d).edges)
+    g = Graph(edges, prims.endpoints(edges))
+    return _clusters(community.louvain(g, max_level=2), g)
+
+
 def sampled_neighbours(s: SparkSession, d: str) -> DataFrame:
     """Three and then two outgoing edges of every vertex: none too many, none made up, none left out where there are fewer."""
     g = q.parts(s, d, True)
@@ -148,7 +156,7 @@ QUERIES = {
     "select_random_vertices_valid": sampled_vertices,
     "negative_sampling_valid": negatives,
     "neighbor_sample_valid": sampled_neighbours,
-    "louvain_valid": lambda s, d: _clusters(community.louvain(q.parts(s, d), max_level=2), q.parts(s, d)),
+    "louvain_valid": louvain,
     "rmat_valid": _rmat(),
     "rmat_clipped_valid": _rmat(clip_and_flip=True),
     "all_pairs_cosine": q._all_pairs("cosine"),

@@ -354,3 +354,30 @@ def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
     assert table.count() == 10_000 and bucketed.count() == 1000 and spark.conf.get(key, None) == was
     for x in (table, bucketed):
         runtime.release(x)
+
+
+def test_local_moves_are_passes_over_packed_edges(spark, monkeypatch):
+    """The same clusters as by joins, in a fraction of the jobs; loops, lone vertices, negative ids, ends that are no vertices."""
+    from graphloom.operators import moves
+
+    rng = np.random.default_rng(9)
+    e = {(int(a) * 7 - 50, int(b) * 7 - 50) for a, b in rng.integers(0, 40, (90, 2))} | {(6, 6)}
+    rows = [(a, b, float(w)) for (a, b), w in zip(sorted(e), rng.integers(1, 9, len(e)).tolist())]
+    lone = spark.createDataFrame([(1000,), (1001,)], "vertex long")
+    g = Graph.from_edgelist(spark.createDataFrame(rows, "src long, dst long, weight double"), weight="weight", vertices=lone)
+
+    def run(group):
+        spark.sparkContext.setJobGroup(group, group)
+        labels, q = community.louvain(g)
+        out = dict(tuple(r) for r in labels.collect())
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, q, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    found, q, jobs = run("packed")
+    assert abs(community.modularity(g.weighted_edges, spark.createDataFrame(list(found.items()), "vertex long, cluster long")).first()[0] - q) < 1e-9
+    monkeypatch.setattr(moves, "MOST", 0)
+    expect, expect_q, expect_jobs = run("joins")
+    assert found == expect and abs(q - expect_q) < 1e-9 and q > 0.2 and found[1000] == 1000
+    assert jobs < expect_jobs / 3
+    monkeypatch.setattr(moves, "MOST", 100)
+    assert moves.held(g.weighted_edges, lone, 1.0, 1.0, 1e-7) is None
