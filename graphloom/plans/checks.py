@@ -113,7 +113,7 @@ def _clusters(found, g: Graph) -> DataFrame:
 def louvain(s: SparkSession, d: str) -> DataFrame:
     edges = cut(q.stored_parts(s, d).edges)
     g = Graph(edges, prims.endpoints(edges))
-    return _clusters(community.louvain(g, max_level=2), g)
+    return _clusters(community.louvain(g), g)
 
 
 def sampled_neighbours(s: SparkSession, d: str) -> DataFrame:

@@ -406,3 +406,21 @@ def test_best_pairs_of_scattered_ids_come_in_rounds(spark, monkeypatch):
         rounds = wedges._rounds(need, most)
         assert [b for a, z in rounds for b in range(a, z)] == [*range(len(need))]
         assert all(z - a == 1 or sum(need[a:z]) <= most for a, z in rounds if need)
+
+
+def test_louvain_query_goes_on_while_a_level_gains(spark, tmp_path, monkeypatch):
+    """A chain of parts, whose clusters two levels leave too small."""
+    from graphloom.plans import checks
+
+    lines = [(0, i, i, 1.0) for i in range(100)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    local, found = community._local, []
+
+    def level(*args):
+        found.append(local(*args))
+        return found[-1]
+
+    monkeypatch.setattr(community, "_local", level)
+    assert [tuple(r) for r in checks.QUERIES["louvain_valid"](spark, str(tmp_path)).collect()] == [(0, 0, 0)]
+    q = [x for _, x in found]
+    assert len(q) > 3 and q[2] > q[1] + 1e-3 and q[-1] <= q[-2] + 1e-7
