@@ -29,6 +29,8 @@ from .suffix_array import shared_prefixes, suffix_array
 GRAM = 24
 #: Symbols in one suffix array, about; parts that a larger anchor's windows are dealt to, for each such number.
 TEXT, DEAL = 250_000, 4
+#: Contexts that a task takes out of what it is sent at a time (about 280 bytes each), and windows that it settles at a time (about 270), about.
+CONTEXTS, WINDOWS = 300_000, 400_000
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
 
 
@@ -218,52 +220,73 @@ class _Windows:
                 self.least[a : a + c] = best[f : f + c]
 
 
+def _pieces(keys: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Places of rows ordered by key, in pieces of about WINDOWS windows: whole anchors, and one at least."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    piece = (np.cumsum(count) - count)[first] // WINDOWS
+    return np.split(np.arange(len(keys)), first[1:][piece[1:] != piece[:-1]])
+
+
+def _settled(key, doc, start, count, left, members, content: list[bytes], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows (document, first, number) that a smaller document has too, of whole anchors' contexts; members: the content of each."""
+    least = np.full(len(content), np.iinfo(np.int64).max)
+    np.minimum.at(least, members, doc)
+    full = doc > least[members]
+    yield doc[full], start[full], count[full]
+    # One row for each class, those of an anchor together; only anchors with several matter.
+    row = np.zeros(len(content), dtype=np.int64)
+    row[members] = np.arange(len(members))
+    by_key = np.argsort(key[row], kind="stable")
+    keys = key[row][by_key]
+    same = np.concatenate(([False], keys[1:] == keys[:-1]))
+    several = by_key[same | np.append(same[1:], False)]
+    if not len(several):
+        return
+    for piece in _pieces(key[row[several]], count[row[several]]):
+        some = several[piece]
+        r = row[some]
+        best = _Windows(key[r], left[r], count[r], least[some], [content[i] for i in some.tolist()], window).settle()
+        first = np.full(len(content), -1, dtype=np.int64)
+        first[some] = np.cumsum(count[r]) - count[r]
+        mine = np.flatnonzero(~full & (first[members] >= 0))
+        owner = np.repeat(np.arange(len(mine)), count[mine])
+        hit = best[ragged(first[members[mine]], count[mine])] < doc[mine][owner]
+        at, n = _runs_of(hit, owner)
+        yield doc[mine][owner[at]], ragged(start[mine], count[mine])[at], n
+
+
 def _repeats(window: int, n_buckets: int):
+    """What a task is sent stays compressed; the contexts of some of its anchors are taken out at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, members, classes, content = [], [], {}, []
+        sent, total = [], 0
         for batch in batches:
             for data, text, settled in zip(batch.column("data").to_pylist(), batch.column("content").to_pylist(), batch.column("settled").to_pylist()):
                 some = unpack(data)
                 if settled:
                     yield by_bucket(n_buckets, *some)
-                    continue
-                raw, at = zstandard.ZstdDecompressor().decompress(text), 0
-                for n, left in zip(some[3].tolist(), some[4].tolist()):
-                    c = raw[at : at + n + window - 1]
-                    at += n + window - 1
-                    k = classes.setdefault((left, c), len(content))
-                    if k == len(content):
+                else:
+                    sent.append((data, text))
+                    total += some.shape[1]
+        turns, found = -(-total // CONTEXTS), []
+        for turn in range(turns):
+            rows, members, classes, content = [], [], {}, []
+            for data, text in sent:
+                some, raw = unpack(data), zstandard.ZstdDecompressor().decompress(text)
+                key, _, _, count, left = some
+                end = np.cumsum(count + window - 1)
+                mine = np.flatnonzero(mix(key.view(U64)) % U64(turns) == turn)
+                for e, n, k in zip(end[mine].tolist(), count[mine].tolist(), left[mine].tolist()):
+                    c = raw[e - n - window + 1 : e]
+                    i = classes.setdefault((k, c), len(content))
+                    if i == len(content):
                         content.append(c)
-                    members.append(k)
-                rows.append(some)
-        if not rows:
-            return
-        key, doc, start, count, left = np.concatenate(rows, axis=1)
-        members = np.array(members)
-        least = np.full(len(content), np.iinfo(np.int64).max)
-        np.minimum.at(least, members, doc)
-        full = doc > least[members]
-        found = [(doc[full], start[full], count[full])]
-        # One row for each class, those of an anchor together; only anchors with several matter.
-        row = np.zeros(len(content), dtype=np.int64)
-        row[members] = np.arange(len(members))
-        by_key = np.argsort(key[row], kind="stable")
-        keys = key[row][by_key]
-        same = np.concatenate(([False], keys[1:] == keys[:-1]))
-        several = by_key[same | np.append(same[1:], False)]
-        if len(several):
-            r = row[several]
-            best = _Windows(key[r], left[r], count[r], least[several], [content[i] for i in several.tolist()], window).settle()
-            first = np.full(len(content), -1, dtype=np.int64)
-            first[several] = np.cumsum(count[r]) - count[r]
-            mine = np.flatnonzero(~full & (first[members] >= 0))
-            where = ragged(first[members[mine]], count[mine])
-            window_doc = np.repeat(doc[mine], count[mine])
-            window_start = ragged(start[mine], count[mine])
-            hit = best[where] < window_doc
-            found.append((window_doc[hit], window_start[hit], np.ones(hit.sum(), dtype=np.int64)))
+                    members.append(i)
+                rows.append(some[:, mine])
+            if members:
+                found += _settled(*np.concatenate(rows, axis=1), np.array(members), content, window)
         done = [np.concatenate(c) for c in zip(*found)]
-        if len(done[0]):
+        if done and len(done[0]):
             yield by_bucket(n_buckets, *done)
 
     return run

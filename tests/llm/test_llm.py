@@ -576,3 +576,30 @@ def test_byte_blocks_bound_a_workers_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 200 << 20
+
+
+def test_contexts_of_a_task_are_settled_some_anchors_at_a_time(monkeypatch):
+    """Against brute force; a task never has all of its windows at once."""
+    from graphloom.llm import anchors
+
+    rng = np.random.default_rng(5)
+    common = [bytes(rng.integers(97, 123, 90, dtype=np.uint8)) for _ in range(12)]
+    texts = [b"".join(bytes(rng.integers(97, 123, 20, dtype=np.uint8)) + common[i] for i in rng.permutation(12)[:5]) for _ in range(60)]
+    windows = [anchors.pack(np.array([0]), np.array([len(t) - 49])) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), type=pa.int64()), pa.array([t.decode() for t in texts]), pa.array(windows, type=pa.binary())], ["doc_id", "text", "windows"])
+    sent = list(byte_dedup._context_rows(50, 4)(iter([batch])))
+    monkeypatch.setattr(byte_dedup, "CONTEXTS", 400, raising=False)
+    monkeypatch.setattr(byte_dedup, "WINDOWS", 300, raising=False)
+    settled = []
+
+    class Windows(byte_dedup._Windows):
+        def settle(self):
+            settled.append(len(self.owner))
+            return super().settle()
+
+    monkeypatch.setattr(byte_dedup, "_Windows", Windows)
+    found = [anchors.unpack(x) for b in byte_dedup._repeats(50, 7)(iter(sent)) for x in b.column("data").to_pylist()]
+    got = {(d, s + i) for d, s, n in np.concatenate(found, axis=1).T.tolist() for i in range(n)}
+    first: dict[bytes, int] = {}
+    expect = {(d, s) for d, t in enumerate(texts) for s in range(len(t) - 49) if first.setdefault(t[s : s + 50], d) < d}
+    assert got == expect and len(settled) > 5 and max(settled) < sum(settled) / 3
