@@ -424,3 +424,33 @@ def test_louvain_query_goes_on_while_a_level_gains(spark, tmp_path, monkeypatch)
     assert [tuple(r) for r in checks.QUERIES["louvain_valid"](spark, str(tmp_path)).collect()] == [(0, 0, 0)]
     q = [x for _, x in found]
     assert len(q) > 3 and q[2] > q[1] + 1e-3 and q[-1] <= q[-2] + 1e-7
+
+
+def test_hops_of_scattered_ids_are_sent_few_edges(spark, monkeypatch):
+    """Copies whose ids alternate: a block's starts are of few copies, and it is sent little more than their edges."""
+    from graphloom.operators import hops
+
+    rng = np.random.default_rng(11)
+    one = {(a, (a + 1) % 12) for a in range(12)} | {(a, b) for a, b in rng.integers(0, 12, (24, 2)).tolist()}
+    e = sorted((a * 8 + i, b * 8 + i) for i in range(8) for a, b in one)
+    g = Graph.from_edgelist(spark.createDataFrame(e, "src long, dst long"), directed=True)
+    monkeypatch.setattr(hops, "EDGES", len(one))
+    sent = spark.sparkContext.accumulator(0)
+    reached = hops._reached
+
+    def counted(k):
+        run = reached(k)
+
+        def rows(batches):
+            some = list(batches)
+            sent.add(sum(b.num_rows for b in some))
+            return run(iter(some))
+
+        return rows
+
+    monkeypatch.setattr(hops, "_reached", counted)
+    found = sorted(tuple(r) for r in structure.k_hop_nbrs(g, g.vertices, 3).collect())
+    expect = set(e)
+    for _ in range(2):
+        expect = {(a, y) for a, b in expect for x, y in e if x == b}
+    assert found == sorted(expect) and sent.value <= 3 * len(e)
